@@ -56,7 +56,7 @@ class Ranges:
         n = len(self.sums) - 1
         if n < size:
             return np.empty(0, np.uint64)
-        return mix((self.sums[size:] - self.sums[: n - size + 1]) * self.down[: n - size + 1] + np.uint64(size) * _M2)
+        return mix((self.sums[size:] - self.sums[: n - size + 1]) * self.down[: n - size + 1] + np.uint64(size * int(_M2) % (1 << 64)))
 
 
 def chain(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rarespark.llm import bpe, sharding
+from rarespark.llm import bpe, sharding, substring
 from rarespark.llm.common import table
 
 
@@ -14,12 +14,16 @@ def op4_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op4(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.op5(table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), bpe.default_path())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_histogram_sharding, op7_byte_bpe)}
+    return {f.__name__: f for f in (op4_histogram_sharding, op5_suffix_radix_dedup, op7_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
