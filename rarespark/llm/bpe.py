@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from rarespark.llm.common import sub_batches
+from rarespark.llm.common import extended, sub_batches
 
 CACHE_PIECES = 400_000
 _NONE = np.int64(1) << 62
@@ -155,7 +155,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", dec
     replaced. ``path`` is a tokenizer file that every worker can open.
     """
     base = docs.drop(ids, decoded)
-    schema = base.schema.add(ids, "array<bigint>").add(decoded, "string")
+    schema = extended(base, f"`{ids}` array<bigint>, `{decoded}` string")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)

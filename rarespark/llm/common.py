@@ -179,3 +179,10 @@ def words(buf: np.ndarray, offs: np.ndarray, inside: np.ndarray) -> tuple[np.nda
     after[:-1] = m[1:]
     ends = np.flatnonzero(m & (~after | edge[1:])) + 1
     return starts, ends, np.searchsorted(offs, starts, "right") - 1
+
+
+def extended(df: DataFrame, ddl: str):
+    """``df``'s schema with more fields."""
+    from pyspark.sql.types import StructType
+
+    return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])

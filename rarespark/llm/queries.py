@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rarespark.llm import bpe, sharding, substring
+from rarespark.llm import bpe, lm, sharding, substring
 from rarespark.llm.common import table
 
 
+def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.op1(table(spark, sf_dir, "documents"))
+
+
 def op4_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op4(table(spark, sf_dir, "documents"))
 
@@ -23,7 +27,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_histogram_sharding, op5_suffix_radix_dedup, op7_byte_bpe)}
+    return {f.__name__: f for f in (op1_kneser_ney, op4_histogram_sharding, op5_suffix_radix_dedup, op7_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

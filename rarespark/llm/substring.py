@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from rarespark.llm.common import batches
+from rarespark.llm.common import batches, extended
 from rarespark.llm.hashing import Ranges, chain
 from rarespark.llm.store import Store, bucket_count, tally, text_bytes
 
@@ -182,7 +182,7 @@ def remove_repeats(docs: DataFrame, depth: int = 200, gram: int = 64, text: str
     """
     stores = sort_suffixes(docs, depth, gram, text)
     base = docs.drop("kept", "removed")
-    schema = base.schema.add("kept", "binary").add("removed", "array<struct<start:bigint,end:bigint>>")
+    schema = extended(base, "kept binary, removed array<struct<start:bigint,end:bigint>>")
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
