@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rarespark.llm import bpe, lm, sharding, substring
+from rarespark.llm import bpe, decontam, lm, sharding, substring
 from rarespark.llm.common import table
 
 
@@ -22,12 +22,16 @@ def op5_suffix_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.op5(table(spark, sf_dir, "documents"))
 
 
+def op6_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.op6(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), bpe.default_path())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_kneser_ney, op4_histogram_sharding, op5_suffix_radix_dedup, op7_byte_bpe)}
+    return {f.__name__: f for f in (op1_kneser_ney, op4_histogram_sharding, op5_suffix_radix_dedup, op6_fm_index_decontamination, op7_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
