@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rarespark.llm import bpe, decontam, lm, sharding, substring
+from rarespark.llm import bpe, decontam, langid, lm, quality, sharding, substring
 from rarespark.llm.common import table
 
 
@@ -30,8 +30,16 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), bpe.default_path())
 
 
+def op9_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.op9(table(spark, sf_dir, "documents"))
+
+
+def op10_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op10(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_kneser_ney, op4_histogram_sharding, op5_suffix_radix_dedup, op6_fm_index_decontamination, op7_byte_bpe)}
+    return {f.__name__: f for f in (op1_kneser_ney, op4_histogram_sharding, op5_suffix_radix_dedup, op6_fm_index_decontamination, op7_byte_bpe, op9_hyperdimensional_language, op10_weak_label_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
