@@ -31,7 +31,7 @@ _SYMBOL = np.isin(np.arange(256), [ord(c) for c in "#$%&*+/<=>@\\^_`{|}~"])
 _STOP = np.isin(np.arange(256), [ord(c) for c in ".?!"])
 _SHOUT = np.arange(256) == ord("!")
 _BAR = np.arange(256) == ord("|")
-LABELLERS = ("case", "symbols", "shouting", "tables", "letters", "sentences", "word_length", "repetition", "digits")
+LABELLERS = ("case", "symbols", "shouting", "tables", "letters", "sentences", "word_length", "repetition", "echo", "digits")
 
 
 def _sums(mask: np.ndarray, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -52,6 +52,10 @@ def measures(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     h, r = hashes[order], row[order]
     new = np.r_[True, (h[1:] != h[:-1]) | (r[1:] != r[:-1])] if len(h) else np.empty(0, bool)
     kinds = np.bincount(r[new], minlength=len(n)).astype(float)
+    # words that follow an equal word, or come after it again at two words' distance
+    echo = np.zeros(len(hashes), bool)
+    for back in (1, 2):
+        echo[back:] |= (hashes[back:] == hashes[:-back]) & (row[back:] == row[:-back])
     return {
         "words": count,
         "case": of(_sums(_UPPER, buf, offs), letters),
@@ -61,11 +65,16 @@ def measures(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
         "letters": of(letters, n - space),
         "sentences": of(_sums(_STOP, buf, offs), count),
         "word_length": of(np.bincount(row, ends - starts, len(n)), count),
-        "repetition": of(kinds, np.sqrt(count)),
+        "repetition": np.log(np.maximum(kinds, 1)) / np.log(np.maximum(count, 2)),
+        "echo": of(np.bincount(row, echo, len(n)), count),
         "digits": of(_sums(_DIGIT, buf, offs), n - space),
     }
 
 
+#: Labellers of shares of words look at texts of so many words or more.
+ENOUGH = 5
+_OF_WORDS = ("shouting", "tables", "sentences", "word_length", "repetition", "echo")
+
 #: By labeller: bad below, good from, good to, bad above; between them it doesn't vote.
 THRESHOLDS = {
     "case": (-1, 0, 0.15, 0.4),
@@ -75,19 +84,21 @@ THRESHOLDS = {
     "letters": (0.7, 0.85, 1, 2),
     "sentences": (0.004, 0.02, 0.4, 0.6),
     "word_length": (2, 3, 10, 16),
-    "repetition": (0.5, 1.5, 1e9, 1e10),
-    "digits": (-1, 0, 0.05, 0.2),
+    "repetition": (0.7, 0.8, 1, 2),
+    "echo": (-1, 0, 0.04, 0.15),
+    "digits": (-1, 0, 0.05, 0.4),
 }
 
 
 def votes(m: dict[str, np.ndarray]) -> np.ndarray:
-    """0 no vote, 1 good, 2 bad, by text and labeller; texts of no words get no vote."""
+    """0 no vote, 1 good, 2 bad, by text and labeller; texts of no words get no vote, those of fewer
+    than ``ENOUGH`` none on shares of words."""
     out = []
     for name in LABELLERS:
         bad_below, good_from, good_to, bad_above = THRESHOLDS[name]
         v = m[name]
         x = np.where((v < bad_below) | (v > bad_above), 2, np.where((v >= good_from) & (v <= good_to), 1, 0))
-        out.append(np.where(m["words"] > 0, x, 0))
+        out.append(np.where(m["words"] >= (ENOUGH if name in _OF_WORDS else 1), x, 0))
     return np.stack(out, 1)
 
 
@@ -96,9 +107,10 @@ def patterns(v: np.ndarray) -> np.ndarray:
 
 
 def estimate(counts: dict[int, int], labellers: int = len(LABELLERS), rounds: int = 100) -> tuple[dict[int, float], np.ndarray]:
-    """The posterior of good by pattern, and each labeller's probabilities (class, vote)."""
+    """The posterior of good by pattern, and each labeller's probabilities (class, vote).
+    No vote is no evidence."""
     if not counts:
-        return {}, np.full((labellers, 2, 3), 1 / 3)
+        return {}, np.full((labellers, 2, 2), 1 / 2)
     keys = np.array(sorted(counts))
     n = np.array([counts[k] for k in keys], float)
     v = keys[:, None] // 3 ** np.arange(labellers) % 3
@@ -108,9 +120,9 @@ def estimate(counts: dict[int, int], labellers: int = len(LABELLERS), rounds: in
         w = np.stack([post, 1 - post]) * n
         share = (w.sum(1) + 1) / (n.sum() + 2)
         # sums by labeller, class and vote, with a count of 1 for each vote
-        p = np.stack([[[(w[c] * (v[:, j] == x)).sum() + 1 for x in range(3)] for c in range(2)] for j in range(labellers)])
+        p = np.stack([[[(w[c] * (v[:, j] == x)).sum() + 1 for x in (1, 2)] for c in range(2)] for j in range(labellers)])
         p /= p.sum(2, keepdims=True)
-        log = np.log(share)[:, None] + sum(np.log(p[j][:, v[:, j]]) for j in range(labellers))
+        log = np.log(share)[:, None] + sum(np.where(v[:, j] > 0, np.log(p[j][:, v[:, j] - 1]), 0) for j in range(labellers))
         now = 1 / (1 + np.exp(np.clip(log[1] - log[0], -700, 700)))
         if np.abs(now - post).max() < 1e-6:
             break
@@ -131,10 +143,12 @@ def _shapes() -> np.ndarray:
 _SHAPES = _shapes()
 
 
-def features(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Square roots of the shares of hashed shape trigrams, by text."""
+def features(buf: np.ndarray, offs: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """By text: square roots of the shares of hashed shape trigrams, and the hashed votes."""
     n = len(offs) - 1
     out = np.zeros((n, FEATURES), np.float32)
+    ballot = (np.arange(v.shape[1]) * 3 + v + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(54)
+    np.add.at(out, (np.arange(n)[:, None], ballot.astype(np.int64)), np.float32(0.5))
     if len(buf) < 3:
         return out
     s = _SHAPES[buf]
@@ -143,7 +157,7 @@ def features(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     inside = row[:-2] == row[2:]
     got = np.bincount(row[:-2][inside] * FEATURES + code[inside].astype(np.int64), minlength=n * FEATURES).reshape(n, FEATURES)
     total = got.sum(1, keepdims=True)
-    return np.sqrt(got / np.maximum(total, 1)).astype(np.float32)
+    return out + np.sqrt(got / np.maximum(total, 1)).astype(np.float32)
 
 
 def fit(x: np.ndarray, y: np.ndarray, steps: int = 400) -> np.ndarray:
@@ -154,8 +168,8 @@ def fit(x: np.ndarray, y: np.ndarray, steps: int = 400) -> np.ndarray:
     mass = np.array([max(y.sum(), 1e-9), max((1 - y).sum(), 1e-9)])
     weight = (y / mass[0] + (1 - y) / mass[1]) / 2
     for i in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (weight * (p - y)) + 1e-5 * w
+        p = 1 / (1 + np.exp(-np.clip(x @ w.astype(np.float32), -30, 30)))
+        g = x.T @ (weight * (p - y)).astype(np.float32) + 1e-5 * w
         m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
         w -= 0.1 * (m / (1 - 0.9**i)) / (np.sqrt(s / (1 - 0.99**i)) + 1e-9)
     return w
@@ -178,8 +192,9 @@ def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> tuple[np
 
     def look(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, buf, offs in batches(it, text, 1 << 20):
-            y = [post[k] for k in patterns(votes(measures(buf, offs))).tolist()]
-            x = [v.tobytes() for v in features(buf, offs).astype(np.float16)]
+            v = votes(measures(buf, offs))
+            y = [post[k] for k in patterns(v).tolist()]
+            x = [f.tobytes() for f in features(buf, offs, v).astype(np.float16)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.float64())], ["x", "y"])
 
     got = keyed.where(F.col("_h") <= lowest).dropDuplicates(["_h"]).select(text).mapInArrow(look, "x binary, y double").limit(sample).toArrow()
@@ -201,8 +216,9 @@ def classify(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> DataF
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, buf, offs in batches(it, text, 1 << 20):
-            p = [post[k] for k in patterns(votes(measures(buf, offs))).tolist()]
-            z = features(buf, offs) @ w[:-1].astype(np.float32) + w[-1]
+            v = votes(measures(buf, offs))
+            p = [post[k] for k in patterns(v).tolist()]
+            z = features(buf, offs, v) @ w[:-1].astype(np.float32) + w[-1]
             score = 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(p, pa.float64()), pa.array(score), pa.array(score >= 0.5)], [*rows.schema.names, *names])
 
