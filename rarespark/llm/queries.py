@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rarespark.llm import ann, bpe, decontam, langid, lm, quality, sharding, substring
+from rarespark.llm import ann, bpe, decontam, langid, lm, quality, sharding, substring, toxicity
 from rarespark.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.op1(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op2(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.op3(table(spark, sf_dir, "embeddings"))
 
@@ -43,7 +47,7 @@ def op10_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_kneser_ney, op3_learned_partitions, op4_histogram_sharding, op5_suffix_radix_dedup, op6_fm_index_decontamination, op7_byte_bpe, op9_hyperdimensional_language, op10_weak_label_quality)}
+    return {f.__name__: f for f in (op1_kneser_ney, op2_toxicity_bigru, op3_learned_partitions, op4_histogram_sharding, op5_suffix_radix_dedup, op6_fm_index_decontamination, op7_byte_bpe, op9_hyperdimensional_language, op10_weak_label_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
