@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rarespark.llm import ann, bpe, decontam, langid, lm, quality, sharding, substring, toxicity
+from rarespark.llm import ann, bpe, decontam, jaccard, langid, lm, quality, sharding, substring, toxicity
 from rarespark.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), bpe.default_path())
 
 
+def op8_bayesian_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.op8(table(spark, sf_dir, "documents"))
+
+
 def op9_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.op9(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_kneser_ney, op2_toxicity_bigru, op3_learned_partitions, op4_histogram_sharding, op5_suffix_radix_dedup, op6_fm_index_decontamination, op7_byte_bpe, op9_hyperdimensional_language, op10_weak_label_quality)}
+    return {f.__name__: f for f in (op1_kneser_ney, op2_toxicity_bigru, op3_learned_partitions, op4_histogram_sharding, op5_suffix_radix_dedup, op6_fm_index_decontamination, op7_byte_bpe, op8_bayesian_jaccard_join, op9_hyperdimensional_language, op10_weak_label_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
