@@ -148,20 +148,20 @@ def tokenizer(path: str) -> Tokenizer:
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """``docs`` with its token ids (array of long) and the text decoded from them.
+    """``docs`` with its token ids (array of int) and the text decoded from them.
 
     Null is the empty text: no ids, empty decoded text. Special-token strings in a text become
     their ids and decode to themselves. Other columns pass; columns named as the new ones are
     replaced. ``path`` is a tokenizer file that every worker can open.
     """
     base = docs.drop(ids, decoded)
-    schema = extended(base, f"`{ids}` array<bigint>, `{decoded}` string")
+    schema = extended(base, f"`{ids}` array<int>, `{decoded}` string")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
         for rows in sub_batches(it, text):
             got = t.encode_batch(rows.column(rows.schema.get_field_index(text)).to_pylist())
-            arrays = pa.array([np.frombuffer(g, "<u4").astype(np.int64) for g in got], pa.list_(pa.int64()))
+            arrays = pa.array([np.frombuffer(g, "<i4") for g in got], pa.list_(pa.int32()))
             back = pa.array([t.decode(g) for g in got], pa.string())
             yield pa.RecordBatch.from_arrays([*rows.columns, arrays, back], [*rows.schema.names, ids, decoded])
 

@@ -173,7 +173,8 @@ def _kept(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> bytes:
 
 def remove_repeats(docs: DataFrame, depth: int = 200, gram: int = 64, text: str = "text") -> DataFrame:
     """``docs`` with ``kept`` (binary: the text's UTF-8 bytes without those that a repeated window
-    covers), and ``removed`` (array of start, end of the removed bytes).
+    covers), ``kept_text`` (these bytes' whole characters) and ``removed`` (array of start, end of
+    the removed bytes).
 
     A window of ``depth`` bytes is repeated if the same bytes start at any other place of any
     text, overlaps included; no window crosses texts. Null is the empty text; texts shorter than
@@ -181,15 +182,16 @@ def remove_repeats(docs: DataFrame, depth: int = 200, gram: int = 64, text: str
     columns pass; columns named as the new ones are replaced.
     """
     stores = sort_suffixes(docs, depth, gram, text)
-    base = docs.drop("kept", "removed")
-    schema = extended(base, "kept binary, removed array<struct<start:bigint,end:bigint>>")
+    base = docs.drop("kept", "kept_text", "removed")
+    schema = extended(base, "kept binary, kept_text string, removed array<struct<start:bigint,end:bigint>>")
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, got in _each(it, text, depth, gram, stores):
             kept = pa.array([_kept(*x) for x in got], pa.binary())
+            whole = pa.array([k.as_py().decode("utf-8", "ignore") for k in kept], pa.string())
             cut = pa.array([[{"start": int(i), "end": int(j)} for i, j in zip(a, b, strict=True)] for _, a, b in got], kind)
-            yield pa.RecordBatch.from_arrays([*rows.columns, kept, cut], [*rows.schema.names, "kept", "removed"])
+            yield pa.RecordBatch.from_arrays([*rows.columns, kept, whole, cut], [*rows.schema.names, "kept", "kept_text", "removed"])
 
     return base.mapInArrow(run, schema)
 
