@@ -23,7 +23,6 @@ DIMENSIONS = 512
 GRAM = 3
 SHARPNESS = 40.0
 CACHE_GRAMS = 60_000
-BLOCK = 16_384
 _LETTERS: dict[int, np.ndarray] = {}
 
 
@@ -70,17 +69,19 @@ class Grams:
 _GRAMS: dict[tuple[int, int], Grams] = {}
 
 
-def profiles(texts: list[str | None], dimensions: int = DIMENSIONS, size: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's bundled vector, and whether it has a letter. Case doesn't count; whatever is
-    between letters counts as one gap, as do a text's ends."""
-    grams = _GRAMS.setdefault((dimensions, size), Grams(dimensions, size))
+def gram_counts(texts: list[str | None], size: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a chunk: its distinct n-grams as rows of code points; text, n-gram and number of each
+    that occurs; and which texts have a letter. Case doesn't count; whatever is between letters
+    counts as one gap, as do a text's ends."""
     low = [(t or "").lower() for t in texts]
-    out = np.zeros((len(low), dimensions), np.float32)
     row = np.repeat(np.arange(len(low)), [len(t) + 1 for t in low])
-    code = np.frombuffer((" ".join(low) + " ").encode("utf-32-le"), np.uint32).astype(np.int64)
-    distinct, at = np.unique(code, return_inverse=True)
-    letter = np.array([chr(c).isalpha() for c in distinct])
-    code = np.where(letter[at], code, 0)
+    code = np.frombuffer((" ".join(low) + " ").encode("utf-32-le"), np.uint32)
+    met = np.flatnonzero(np.bincount(code))
+    letters = np.array([c for c in met.tolist() if chr(c).isalpha()], np.int64)
+    alphabet = np.r_[0, letters]
+    small = np.zeros(int(met[-1]) + 1, np.int64)
+    small[letters] = np.arange(1, len(alphabet))
+    code = small[code]
     keep = np.ones(len(code), bool)
     keep[1:] = (code[1:] != 0) | (code[:-1] != 0)
     code, row = code[keep], row[keep]
@@ -89,17 +90,15 @@ def profiles(texts: list[str | None], dimensions: int = DIMENSIONS, size: int =
     head = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
     head = head[code[head] != 0]
     code, row = np.insert(code, head, 0), np.insert(row, head, row[head])
-    if len(code) < size:
-        return out, has
-    alphabet, small = np.unique(code, return_inverse=True)
     k = len(alphabet)
-    if k**size > 1 << 62:
-        raise ValueError(f"{k} letters in one batch; n-grams of {size} of them have no 64-bit code")
-    gram = np.zeros(len(code) - size + 1, np.int64)
+    if k**size > 1 << 40:
+        raise ValueError(f"{k} letters in one chunk; n-grams of {size} of them have no code")
+    n = max(len(code) - size + 1, 0)
+    gram = np.zeros(n, np.int64)
     for place in range(size):
-        gram = gram * k + small[place : len(small) - size + 1 + place]
-    inside = row[: len(row) - size + 1] == row[size - 1 :]
-    gram, of = gram[inside], row[: len(row) - size + 1][inside]
+        gram = gram * k + code[place : place + n]
+    inside = row[:n] == row[size - 1 : size - 1 + n]
+    gram, of = gram[inside], row[:n][inside]
     if k**size <= 1 << 24:
         kinds = np.flatnonzero(np.bincount(gram, minlength=k**size))
         place_of = np.zeros(k**size, np.int64)
@@ -107,17 +106,30 @@ def profiles(texts: list[str | None], dimensions: int = DIMENSIONS, size: int =
         gram = place_of[gram]
     else:
         kinds, gram = np.unique(gram, return_inverse=True)
-    letters = np.stack([alphabet[kinds // k ** (size - 1 - p) % k] for p in range(size)], 1)
-    rows = grams.rows(letters)
-    key, n = np.unique(of * len(kinds) + gram, return_counts=True)
-    of, gram, n = key // max(len(kinds), 1), key % max(len(kinds), 1), n.astype(np.float32)
-    for i in range(0, len(key), BLOCK):
-        o = of[i : i + BLOCK]
-        heads = np.flatnonzero(np.r_[True, o[1:] != o[:-1]])
-        v = grams.table[rows[gram[i : i + BLOCK]]].astype(np.float32)
-        v *= n[i : i + BLOCK, None]
-        out[o[heads]] += np.add.reduceat(v, heads, axis=0)
-    return out, has
+    key = np.sort(of * max(len(kinds), 1) + gram)
+    heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+    count = np.diff(np.r_[heads, len(key)])
+    key = key[heads]
+    spelled = np.stack([alphabet[kinds // k ** (size - 1 - p) % k] for p in range(size)], 1)
+    return spelled, key // max(len(kinds), 1), key % max(len(kinds), 1), count, has
+
+
+def bundle(group: np.ndarray, n: int, spelled: np.ndarray, gram: np.ndarray, count: np.ndarray, dimensions: int = DIMENSIONS) -> np.ndarray:
+    """The bundled vectors of ``n`` groups of n-grams: their counts times the n-grams' vectors."""
+    grams = _GRAMS.setdefault((dimensions, spelled.shape[1]), Grams(dimensions, spelled.shape[1]))
+    if not len(spelled):
+        return np.zeros((n, dimensions), np.float32)
+    rows = grams.rows(spelled)
+    vectors = grams.table[rows].astype(np.float32)
+    dense = np.zeros((n, len(spelled)), np.float32)
+    np.add.at(dense, (group, gram), count.astype(np.float32))
+    return dense @ vectors
+
+
+def profiles(texts: list[str | None], dimensions: int = DIMENSIONS, size: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's bundled vector, and whether it has a letter."""
+    spelled, of, gram, count, has = gram_counts(texts, size)
+    return bundle(of, len(texts), spelled, gram, count, dimensions), has
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, np.ndarray]:
@@ -126,10 +138,12 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str,
     def partial(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for rows in sub_batches(it, "text", 1 << 20):
-            got, _ = profiles(rows.column(0).to_pylist())
-            langs = np.array(rows.column(1).to_pylist(), object)
-            for x in set(langs.tolist()):
-                sums[x] = sums.get(x, 0) + got[langs == x].sum(0, dtype=np.float64)
+            spelled, of, gram, count, _ = gram_counts(rows.column(0).to_pylist())
+            names = sorted(set(rows.column(1).to_pylist()))
+            group = np.array([names.index(x) for x in rows.column(1).to_pylist()])
+            got = bundle(group[of], len(names), spelled, gram, count).astype(np.float64)
+            for i, x in enumerate(names):
+                sums[x] = sums.get(x, 0) + got[i]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.list_(pa.float64()))], ["lang", "v"])
 
     def whole(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
