@@ -186,3 +186,9 @@ def extended(df: DataFrame, ddl: str):
     from pyspark.sql.types import StructType
 
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
+
+
+def carried(rows: pa.RecordBatch, text: str, keep_text: bool) -> tuple[list[pa.Array], list[str]]:
+    """The columns that an operator passes on, and their names."""
+    at = [i for i, c in enumerate(rows.schema.names) if keep_text or c != text]
+    return [rows.column(i) for i in at], [rows.schema.names[i] for i in at]

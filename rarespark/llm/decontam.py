@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rarespark.llm.common import batches, extended, lower_ascii, words
+from rarespark.llm.common import batches, carried, extended, lower_ascii, text_view, words
 from rarespark.llm.hashing import Ranges
 
-SHARD_BYTES = 48 << 20
+SHARD_BYTES = 24 << 20
 BENCHMARK_BYTES = 64 << 20
 EVERY = 8
 _LOWER = lower_ascii()
@@ -222,7 +222,8 @@ def _matches(shard: list, p: Phrases) -> list[tuple]:
         symbols.append(s)
         places.append(take)
         docs.append(np.full(len(take), len(chunks_)))
-        chunks_.append((rows, n_words, row, starts, ends, np.r_[0, np.cumsum(n_words)]))
+        small = [x.astype(np.int32) for x in (row, starts, ends)]  # a chunk is far below 2**31 bytes or one text
+        chunks_.append((rows, n_words, *small, np.r_[0, np.cumsum(n_words)]))
     text, place, chunk = (np.concatenate(x) for x in (symbols, places, docs))
     got: list[list[tuple[int, int, int]]] = [[] for _ in chunks_]
     found = None
@@ -260,13 +261,14 @@ def _matches(shard: list, p: Phrases) -> list[tuple]:
 _NEW = "n_words bigint, n_hit bigint, items array<string>, removed array<struct<start:bigint,end:bigint>>, contaminated boolean"
 
 
-def find(docs: DataFrame, benchmark: DataFrame, size: int = 13, text: str = "text") -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, size: int = 13, text: str = "text", keep_text: bool = True) -> DataFrame:
     """``docs`` with n_words, n_hit, items (ids as sorted strings), removed (byte spans, end
     excluded, of the merged occurrences) and contaminated (at least a twentieth of its words hit).
 
     A phrase is ``size`` consecutive words of an item, or all of a shorter one. Null or wordless
     texts have no words and are clean; items without words match nothing; equal items all count.
     Other columns pass; columns named as the new ones are replaced.
+    ``keep_text=False`` leaves the text out of the result, and so out of what goes back to the JVM.
     """
     p = phrases(benchmark, size)
     names = ["n_words", "n_hit", "items", "removed", "contaminated"]
@@ -276,23 +278,18 @@ def find(docs: DataFrame, benchmark: DataFrame, size: int = 13, text: str = "tex
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in _shards(it, text):
             for rows, n_words, spans, items, starts, ends, heads in _matches(shard, p):
-                buf_at = _row_starts(rows, text)
+                buf_at = text_view(rows.column(rows.schema.get_field_index(text)))[1]
                 hit = [sum(b - a for a, b in s) for s in spans]
                 cut = [[{"start": int(starts[heads[d] + a] - buf_at[d]), "end": int(ends[heads[d] + b - 1] - buf_at[d])} for a, b in s] for d, s in enumerate(spans)]
                 bad = [h > 0 and 20 * h >= n for h, n in zip(hit, n_words.tolist(), strict=True)]
                 new = [pa.array(x, k) for x, k in zip((n_words, hit, items, cut, bad), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([*rows.columns, *new], [*rows.schema.names, *names])
+                same, called = carried(rows, text, keep_text)
+                yield pa.RecordBatch.from_arrays([*same, *new], [*called, *names])
 
-    return base.mapInArrow(run, extended(base, _NEW))
-
-
-def _row_starts(rows: pa.RecordBatch, text: str) -> np.ndarray:
-    from rarespark.llm.common import text_view
-
-    return text_view(rows.column(rows.schema.get_field_index(text)))[1]
+    return base.mapInArrow(run, extended(base if keep_text else base.drop(text), _NEW))
 
 
 def op6(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    got = find(docs.select("doc_id", "text"), benchmark)
+    got = find(docs.select("doc_id", "text"), benchmark, keep_text=False)
     joined = F.sha2(F.concat_ws(",", "items"), 256)
     return got.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), joined.alias("items_sha256"), "contaminated")

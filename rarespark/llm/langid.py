@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rarespark.llm.common import extended, remainder, sub_batches
+from rarespark.llm.common import carried, extended, remainder, sub_batches
 
 DIMENSIONS = 512
 GRAM = 3
@@ -156,7 +156,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str,
     return {r.lang: np.array(r.v) for r in sorted(got, key=lambda r: r.lang) if np.any(r.v)}
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text") -> DataFrame:
+def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", keep_text: bool = True) -> DataFrame:
     """``docs`` with lang_pred and score (0 to 1: a softmax of the cosines).
 
     Texts that are null or have no letter, and all texts where there is no prototype, get ``und``
@@ -177,12 +177,13 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "tex
                 name = [langs[b] if h else "und" for b, h in zip(best, has, strict=True)]
             else:
                 name, score = ["und"] * rows.num_rows, np.zeros(rows.num_rows)
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(name, pa.string()), pa.array(score, pa.float64())], [*rows.schema.names, "lang_pred", "score"])
+            same, called = carried(rows, text, keep_text)
+            yield pa.RecordBatch.from_arrays([*same, pa.array(name, pa.string()), pa.array(score, pa.float64())], [*called, "lang_pred", "score"])
 
-    return base.mapInArrow(run, extended(base, "lang_pred string, score double"))
+    return base.mapInArrow(run, extended(base if keep_text else base.drop(text), "lang_pred string, score double"))
 
 
 def op9(docs: DataFrame) -> DataFrame:
     held = remainder(3) == 1
     prototypes = train(docs.where(~held).select("text", "lang"))
-    return predict(docs.select("doc_id", held.alias("held_out"), "text"), prototypes).drop("text")
+    return predict(docs.select("doc_id", held.alias("held_out"), "text"), prototypes, keep_text=False)

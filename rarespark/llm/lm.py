@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rarespark.llm.common import batches, extended, local_path, lower_ascii, materialize, new_dir, remainder, resolve, words, write_file
+from rarespark.llm.common import batches, carried, extended, local_path, lower_ascii, materialize, new_dir, remainder, resolve, words, write_file
 from rarespark.llm.hashing import Ranges, mix
 from rarespark.llm.store import Store, blocks, bucket_count, gather, pack, tally, text_bytes
 
@@ -193,7 +193,7 @@ def train(texts: DataFrame, text: str = "text") -> Model:
     return Model(vocabulary, Store(uri, pair_buckets), stats, base, int(sum(r.total for r in kept)), n_texts, discounts([p.n1, p.n2, p.n3, p.n4]).tolist(), d.tolist(), int(w.kinds), float(leftover))
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = True) -> DataFrame:
     """``docs`` with n_tokens, n_known, train_tokens (long), base_score, score and perplexity.
 
     ``score`` is the log10 probability of the text with its end; a null or empty text is its end
@@ -201,14 +201,15 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """
     new = ["n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"]
     base = docs.drop(*new)
-    schema = extended(base, "n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, perplexity double")
+    schema = extended(base if keep_text else base.drop(text), "n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, perplexity double")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, buf, offs in batches(it, text):
             got = model.score(*token_hashes(buf, offs))
             got["train_tokens"] = np.full(rows.num_rows, model.tokens)
             got["perplexity"] = 10.0 ** np.minimum(-got["score"] / got["n_tokens"], 300)
-            yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(got[c]) for c in new)], [*rows.schema.names, *new])
+            same, called = carried(rows, text, keep_text)
+            yield pa.RecordBatch.from_arrays([*same, *(pa.array(got[c]) for c in new)], [*called, *new])
 
     return base.mapInArrow(run, schema)
 
@@ -216,4 +217,4 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 def op1(docs: DataFrame) -> DataFrame:
     held = (remainder(10) == 0).alias("held_out")
     model = train(docs.where(remainder(10) != 0))
-    return score(docs.select("doc_id", held, "text"), model).drop("text")
+    return score(docs.select("doc_id", held, "text"), model, keep_text=False)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rarespark.llm.common import batches, extended, words
+from rarespark.llm.common import batches, carried, extended, words
 from rarespark.llm.hashing import Ranges
 
 SAMPLE = 6_000
@@ -203,7 +203,7 @@ def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> tuple[np
     return fit(x[order], np.asarray(got.column("y"))[order]), post
 
 
-def classify(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> DataFrame:
+def classify(docs: DataFrame, text: str = "text", sample: int = SAMPLE, keep_text: bool = True) -> DataFrame:
     """``docs`` with weak_posterior, score (0 to 1, higher is better) and keep (score >= 0.5).
 
     Null counts as the empty text. A text without words has no vote; it gets the posterior of no
@@ -220,10 +220,11 @@ def classify(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> DataF
             p = [post[k] for k in patterns(v).tolist()]
             z = features(buf, offs, v) @ w[:-1].astype(np.float32) + w[-1]
             score = 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(p, pa.float64()), pa.array(score), pa.array(score >= 0.5)], [*rows.schema.names, *names])
+            same, called = carried(rows, text, keep_text)
+            yield pa.RecordBatch.from_arrays([*same, pa.array(p, pa.float64()), pa.array(score), pa.array(score >= 0.5)], [*called, *names])
 
-    return base.mapInArrow(run, extended(base, "weak_posterior double, score double, keep boolean"))
+    return base.mapInArrow(run, extended(base if keep_text else base.drop(text), "weak_posterior double, score double, keep boolean"))
 
 
 def op10(docs: DataFrame) -> DataFrame:
-    return classify(docs.select("doc_id", "text")).drop("text")
+    return classify(docs.select("doc_id", "text"), keep_text=False)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rarespark.llm.common import batches, extended, remainder, text_view, words
+from rarespark.llm.common import batches, carried, extended, remainder, text_view, words
 from rarespark.llm.hashing import Ranges, mix
 
 SAMPLE = 2_500
@@ -322,7 +322,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int =
     return fit(got.column("text").to_pylist(), np.asarray(got.column("toxic")))
 
 
-def score(docs: DataFrame, net: Network | None, text: str = "text") -> DataFrame:
+def score(docs: DataFrame, net: Network | None, text: str = "text", keep_text: bool = True) -> DataFrame:
     """``docs`` with score (0 to 1) and predicted (1 if score >= 0.5, else 0).
 
     Null and empty texts have one window of no words. Without a network (one class only) all
@@ -333,12 +333,13 @@ def score(docs: DataFrame, net: Network | None, text: str = "text") -> DataFrame
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, buf, offs in batches(it, text, 1 << 20):
             s = net.scores(buf, offs) if net else np.zeros(rows.num_rows)
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], [*rows.schema.names, "score", "predicted"])
+            same, called = carried(rows, text, keep_text)
+            yield pa.RecordBatch.from_arrays([*same, pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], [*called, "score", "predicted"])
 
-    return base.mapInArrow(run, extended(base, "score double, predicted int"))
+    return base.mapInArrow(run, extended(base if keep_text else base.drop(text), "score double, predicted int"))
 
 
 def op2(docs: DataFrame, labels: DataFrame) -> DataFrame:
     held = remainder(5) == 0
     net = train(docs.where(~held), labels.where(~held))
-    return score(docs.select("doc_id", held.alias("held_out"), "text"), net).drop("text")
+    return score(docs.select("doc_id", held.alias("held_out"), "text"), net, keep_text=False)
