@@ -163,7 +163,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "tex
     and 0. Ties go to the first language by name. Columns named as the new ones are replaced.
     """
     langs = list(prototypes)
-    p = np.array([v / np.linalg.norm(v) for v in prototypes.values()], np.float32).reshape(len(langs), -1)
+    p = np.array([v / np.linalg.norm(v) for v in prototypes.values()], np.float32).reshape(len(langs), DIMENSIONS)
     base = docs.drop("lang_pred", "score")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
