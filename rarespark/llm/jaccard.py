@@ -188,10 +188,17 @@ class Found:
         k, n = np.unique(np.r_[a, b], return_counts=True)
         for x, m in zip(k.tolist(), n.tolist(), strict=True):
             self.links[x] = self.links.get(x, 0) + m
-        for x, y in zip(a.tolist(), b.tolist(), strict=True):
-            x, y = self.root(x), self.root(y)
-            if x != y:
-                self.parent[max(x, y)] = min(x, y)
+        # a is sorted: one root a run, and each of its partners that isn't under it yet
+        heads = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.empty(0, np.int64)
+        for h, e in zip(heads.tolist(), [*heads[1:].tolist(), len(a)], strict=True):
+            x = self.root(int(a[h]))
+            for y in b[h:e].tolist():
+                if self.parent.get(y) == x:
+                    continue
+                y = self.root(y)
+                if x != y:
+                    self.parent[max(x, y)] = min(x, y)
+                    x = min(x, y)
 
     def batch(self) -> pa.RecordBatch:
         k = list(self.links)
@@ -199,30 +206,41 @@ class Found:
         return pa.RecordBatch.from_arrays([signed(k), pa.array([self.links[x] for x in k], pa.int64()), signed([self.root(x) for x in k])], ["key", "links", "root"])
 
 
-def _compare(keys_a: np.ndarray, keys_b: np.ndarray, band: np.ndarray, classes: Classes, least: list[int], threshold: float, found: Found) -> None:
-    distinct, back = np.unique(np.r_[keys_a, keys_b], return_inverse=True)
-    a, b = back[: len(keys_a)], back[len(keys_a) :]
-    order = np.argsort(a, kind="stable")
-    a, b, band = a[order], b[order], band[order]
-    sig, sets = classes.get(distinct)
-    links = []
+def _first(a: np.ndarray, b: np.ndarray, band: np.ndarray, of_bands: np.ndarray) -> np.ndarray:
+    """Which pairs share no band before the one they were met in."""
+    left = np.flatnonzero(band > 0)
+    out = np.ones(len(a), bool)
+    s = 0
+    while len(left):
+        same = of_bands[s, a[left]] == of_bands[s, b[left]]
+        out[left[same]] = False
+        s += 1
+        left = left[~same]
+        left = left[band[left] > s]
+    return out
+
+
+def _compare(a: np.ndarray, b: np.ndarray, band: np.ndarray, held: tuple, least: list[int], threshold: float, found: Found) -> None:
+    """Look at pairs of places in ``held``: the keys, MinHash values, bands and sets of a batch."""
+    keys, sig, of_bands, sets = held
+    new = _first(a, b, band, of_bands)
+    a, b = a[new], b[new]
+    kept = []
     for i in range(0, len(a), PAIRS):
-        x, y, of = a[i : i + PAIRS], b[i : i + PAIRS], band[i : i + PAIRS]
-        same = sig[x] == sig[y]
-        first = same.reshape(len(x), BANDS, ROWS).all(2).argmax(1)
-        live = first == of
-        x, y, same = x[live], y[live], same[live]
-        alive = np.arange(len(x))
+        x, y = a[i : i + PAIRS], b[i : i + PAIRS]
         matches = np.zeros(len(x), np.int64)
         for step, need in enumerate(least):
-            matches = matches + same[alive, step * STEP : (step + 1) * STEP].sum(1)
+            part = slice(step * STEP, (step + 1) * STEP)
+            matches += (sig[x, part] == sig[y, part]).sum(1)
             stay = matches >= need
-            alive, matches = alive[stay], matches[stay]
-        x, y = x[alive], y[alive]
+            x, y, matches = x[stay], y[stay], matches[stay]
+        kept.append((x, y))
+    if kept:
+        x, y = (np.concatenate(z) for z in zip(*kept, strict=True))
+        order = np.argsort(x, kind="stable")
+        x, y = x[order], y[order]
         ok = verified(x, y, sets, threshold)
-        links.append((distinct[x[ok]], distinct[y[ok]]))
-    if links:
-        found.add(*(np.concatenate(z) for z in zip(*links, strict=True)))
+        found.add(keys[x[ok]], keys[y[ok]])
 
 
 def _groups(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -249,13 +267,11 @@ def _links(it: Iterator[pa.RecordBatch], classes: Classes, least: list[int], thr
     for band, key, i, j, block in _groups(it):
         heads = np.flatnonzero(np.r_[True, (band[1:] != band[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
         ends = np.r_[heads[1:], len(band)]
-        key, number = key.view(np.uint64), (band.view(np.uint64) & np.uint64(63)).astype(np.int64)
+        number = (band.view(np.uint64) & np.uint64(63)).astype(np.int64)
+        distinct, place = np.unique(key.view(np.uint64), return_inverse=True)
+        sig, sets = classes.get(distinct)
+        batch = distinct, sig, np.ascontiguousarray((bands(sig) >> np.uint64(32)).astype(np.uint32).T), sets
         held, n = [], 0
-
-        def flush(held: list) -> None:
-            a, b, g = (np.concatenate(z) for z in zip(*held, strict=True))
-            _compare(key[a], key[b], number[g], classes, least, threshold, found)
-
         for h, e in zip(heads.tolist(), ends.tolist(), strict=True):
             if i[h] == j[h]:
                 a, b = np.triu_indices(e - h, 1)
@@ -263,13 +279,13 @@ def _links(it: Iterator[pa.RecordBatch], classes: Classes, least: list[int], thr
                 left, right = np.flatnonzero(block[h:e] == i[h]), np.flatnonzero(block[h:e] == j[h])
                 a, b = np.repeat(left, len(right)), np.tile(right, len(left))
             if len(a):
-                held.append((a + h, b + h, np.full(len(a), h)))
+                held.append((place[a + h], place[b + h], np.full(len(a), number[h])))
                 n += len(a)
             if n >= 1 << 18:
-                flush(held)
+                _compare(*(np.concatenate(z) for z in zip(*held, strict=True)), batch, least, threshold, found)
                 held, n = [], 0
         if held:
-            flush(held)
+            _compare(*(np.concatenate(z) for z in zip(*held, strict=True)), batch, least, threshold, found)
         if len(found.links) > 200_000:
             yield found.batch()
             found = Found()
