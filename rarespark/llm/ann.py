@@ -155,9 +155,10 @@ def search(df: DataFrame, is_query, k: int = 20, vector: str = "embedding", key:
     """(query_id, rank, vec_id, score): for each valid row where ``is_query`` holds, its ``k``
     rows of largest inner product found, nearest first, ties to the smaller id.
 
-    A query's candidates are all valid rows of another id; fewer than ``k`` in the parts probed
-    make all parts be probed when the table has fewer rows than sixteen times ``k``. Repeated ids
-    are rows of their own but never neighbours of each other. Empty tables give no rows.
+    A query's candidates are all valid rows of another id. Tables of fewer than 32 ``k`` rows have
+    one part, so every candidate is compared; in larger ones a query gets what its probed parts
+    hold. Repeated ids are rows of their own but never neighbours of each other, and each of
+    them asks; results of equal ids merge. Empty tables give no rows.
     """
     rows = valid(df, vector, key)
     n = rows.count()

@@ -81,13 +81,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def write_file(uri: str, parts: list[np.ndarray]) -> None:
-    """Write whole arrays one after the other; the name appears only when all is there."""
+    """Write whole arrays one after the other; the name appears only when all is there. A second
+    run of the same task may find it there, with the same content, where a move can't replace it."""
     filesystem, path = resolve(uri)
     part = f"{path}.{uuid.uuid4().hex}.part"
     with filesystem.open_output_stream(part) as out:
         for x in parts:
             out.write(np.ascontiguousarray(x).view(np.uint8).data)
-    filesystem.move(part, path)
+    try:
+        filesystem.move(part, path)
+    except OSError:
+        if not filesystem.get_file_info(path).is_file:
+            raise
+        filesystem.delete_file(part)
 
 
 _FETCHED: dict[str, str] = {}
