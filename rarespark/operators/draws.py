@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from rarespark.functions.rng import uniform
 from rarespark.operators.bumps import Bump
+from rarespark.operators import series
 from rarespark.operators.series import position
 
 #: Keys of cases without weight come after all others.
@@ -92,11 +93,24 @@ def with_replacement(rows: DataFrame, found: list[Bump], draws: dict[int, int],
     none = [b.bump for b in found if not b.positive]
     w = F.when(F.col("bump").isin(none), 1.0).otherwise(weight(bias)) if none else weight(bias)
     held = rows.where(F.col("bump").isin([b.bump for b in found])).withColumn("_w", w).where("_w > 0")
-    order = Window.partitionBy("bump").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    held = held.withColumn("_to", F.sum("_w").over(order))
-    total = held.groupBy("bump").agg(F.max("_to").alias("_total"))
-    points = asked.join(F.broadcast(total), "bump").select("bump", (F.col("u") * F.col("_total")).alias("_at"), "draw", F.lit(None).cast("bigint").alias("rank"))
-    both = held.select("bump", F.col("_to").alias("_at"), F.lit(None).cast("bigint").alias("draw"), "rank").unionByName(points)
-    ahead = Window.partitionBy("bump").orderBy(F.desc("_at"), F.col("draw").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    hit = both.withColumn("_hit", F.last("rank", ignorenulls=True).over(ahead)).where("draw is not null")
+    # ranks are dense, so pieces of them have a bounded size and their sums are few
+    held = held.withColumn("_piece", F.floor((F.col("rank") - 1) / series.PIECE_ROWS).cast("int"))
+    offsets, tops = [], {}
+    for r in held.groupBy("bump", "_piece").agg(F.sum("_w").alias("s")).orderBy("bump", "_piece").collect():
+        start, ends = tops.get(r["bump"], (0.0, []))
+        offsets.append((r["bump"], r["_piece"], start))
+        tops[r["bump"]] = (start + r["s"], [*ends, (start + r["s"], r["_piece"])])
+    shift = F.broadcast(spark.createDataFrame(offsets, "bump int, _piece int, _shift double"))
+    order = Window.partitionBy("bump", "_piece").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    held = held.join(shift, ["bump", "_piece"]).withColumn("_to", F.col("_shift") + F.sum("_w").over(order))
+    ends = [(bump, top, [e for e, _ in at[:-1]], [p for _, p in at]) for bump, (top, at) in tops.items()]
+    bounds = F.broadcast(spark.createDataFrame(ends, "bump int, _total double, _ends array<double>, _pieces array<int>"))
+    points = asked.join(bounds, "bump").withColumn("_at", F.col("u") * F.col("_total"))
+    points = points.withColumn("_piece", F.element_at("_pieces", F.size(F.filter("_ends", lambda e: e <= F.col("_at"))) + 1))
+    none = F.lit(None).cast("bigint")
+    both = held.select("bump", "_piece", F.col("_to").alias("_at"), none.alias("draw"), "rank").unionByName(points.select("bump", "_piece", "_at", "draw", none.alias("rank")))
+    ahead = Window.partitionBy("bump", "_piece").orderBy(F.desc("_at"), F.col("draw").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    # sums added in another order may leave a draw beyond the piece's last case: it is that one
+    last = F.max("rank").over(Window.partitionBy("bump", "_piece"))
+    hit = both.withColumn("_hit", F.coalesce(F.last("rank", ignorenulls=True).over(ahead), last)).where("draw is not null")
     return hit.select("bump", "draw", F.col("_hit").alias("rank")).join(rows, ["bump", "rank"])

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from rarespark import Resampler
 from rarespark.functions.relevance import ControlPoints
 from rarespark.functions.rng import uniform, uniform_py
-from rarespark.operators import bumps, counts, draws, synth
+from rarespark.operators import bumps, counts, draws, series, synth
 from rarespark.operators.bumps import Bump
 from rarespark.operators.resampler import in_order
 
@@ -92,7 +92,9 @@ def test_topping_up_takes_every_weighted_case_and_warns(spark):
     assert len({r.t for r in got}) == 5 and {0, 1} <= {r.t for r in got}
 
 
-def test_draws_follow_their_weights(spark):
+@pytest.mark.parametrize("piece", [500_000, 2])
+def test_draws_follow_their_weights(spark, monkeypatch, piece):
+    monkeypatch.setattr(series, "PIECE_ROWS", piece)
     df = cases(spark, range(4), [0.0, 0.5, 0.5, 1.0]).withColumn("bump", F.lit(0))
     b = Bump(0, 4, 0.5, True, False, positive=3)
     rows = draws.ranked(df, [b], "t")
