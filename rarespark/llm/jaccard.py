@@ -185,11 +185,14 @@ class Found:
         return x
 
     def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Links between keys ``a`` and ``b``; equal ones of ``a`` lie together."""
+        if not len(a):
+            return
         k, n = np.unique(np.r_[a, b], return_counts=True)
         for x, m in zip(k.tolist(), n.tolist(), strict=True):
             self.links[x] = self.links.get(x, 0) + m
-        # a is sorted: one root a run, and each of its partners that isn't under it yet
-        heads = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.empty(0, np.int64)
+        # one root a run, and each of its partners that isn't under it yet
+        heads = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
         for h, e in zip(heads.tolist(), [*heads[1:].tolist(), len(a)], strict=True):
             x = self.root(int(a[h]))
             for y in b[h:e].tolist():

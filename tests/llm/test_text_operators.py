@@ -324,6 +324,16 @@ def test_join_keeps_one_of_each(docs, corpus, nothing, spark):
     assert sorted((r.doc_id is not None, r.doc_id or 0) for r in jaccard.one_of_each(odd).collect()) == [(False, 0), (False, 0), (True, 1), (True, 2)]
 
 
+def test_found_links():
+    u = lambda *x: np.array(x, np.uint64)
+    found = jaccard.Found()
+    found.add(u(), u())
+    assert found.links == {}
+    found.add(u(5, 5, 9), u(7, 3, 8))
+    found.add(u(8), u(7))
+    assert found.links == {3: 1, 5: 2, 7: 2, 8: 2, 9: 1} and {found.root(x) for x in found.links} == {3}
+
+
 def test_pruning_keeps_what_may_reach_the_threshold():
     least = jaccard.least_matches()
     assert least == sorted(least) and least[-1] < 0.8 * jaccard.VALUES
