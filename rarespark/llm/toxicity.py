@@ -2,7 +2,8 @@
 
 A word enters as evidence and embeddings from two sides: the word itself (hashed, twice, so that a
 collision must happen twice to count) and its characters (hashed byte n-grams between word
-boundaries). The network reads every window of ``LENGTH`` words, windows starting every ``STRIDE``
+boundaries). A run without spaces of more than ``LONG`` bytes is read as overlapping pieces, each a
+word of its own, that together hold all the run's n-grams. The network reads every window of ``LENGTH`` words, windows starting every ``STRIDE``
 words to the text's end; attention pools the states of both directions, and a text's score is
 that of its highest window, calibrated on whole texts. Forward and backward passes are numpy.
 
@@ -28,6 +29,7 @@ BINS, ROWS = 1 << 18, 1 << 13
 WORD_DIM = CHAR_DIM = 4
 HIDDEN, ATTENTION = 8, 8
 GRAMS = (4, 5, 6)
+LONG, PIECE = 64, 24
 SHRINK = 3.0
 BLOCK = 4_096
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -35,6 +37,18 @@ _LOWER[65:91] += 32
 _IN_WORD = np.isin(np.arange(256), range(48, 58)) | np.isin(np.arange(256), range(97, 123)) | (np.arange(256) >= 128)
 
 
+def pieces(starts: np.ndarray, ends: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Starts, ends and rows of words, those over ``LONG`` bytes cut into pieces of ``PIECE`` that
+    overlap by all but one byte of the longest n-gram; and whether a piece begins or ends within a word."""
+    size, step = ends - starts, PIECE - max(GRAMS) + 1
+    n = np.where(size > LONG, 1 - (PIECE - size) // step, 1)
+    of = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    first = starts[of] + place * step
+    last = place == n[of] - 1
+    return first, np.where(last, ends[of], first + PIECE), row[of], place > 0, ~last
+
+
 class Tokens:
     """The words of a chunk of texts: distinct ones with their features' places."""
 
@@ -44,12 +58,14 @@ class Tokens:
         lead = np.flatnonzero(low[:-1] == 0xC3) + 1 if len(low) > 1 else np.empty(0, np.int64)
         up = lead[(low[lead] >= 0x80) & (low[lead] <= 0x9E) & (low[lead] != 0x97)]
         low[up] += 0x20
-        starts, ends, self.row = words(low, offs, _IN_WORD)
+        starts, ends, self.row, begun, goes_on = pieces(*words(low, offs, _IN_WORD))
         h = Ranges(low)(starts, ends)
+        cut = begun | goes_on
+        h[cut] = mix(h[cut] + begun[cut] + np.uint64(2) * goes_on[cut])
         self.hash, first, self.at = np.unique(h, return_index=True, return_inverse=True)
         starts, ends = starts[first], ends[first]
         # bytes of the distinct words, each between two boundary bytes
-        size = np.minimum(ends - starts, 64) + 2
+        size = ends - starts + 2
         at = np.r_[0, np.cumsum(size)]
         flat = np.full(at[-1], 0x5F, np.uint8)
         inner = np.repeat(starts - at[:-1] - 1, size) + np.arange(at[-1])
@@ -57,10 +73,12 @@ class Tokens:
         body[at[:-1]] = body[at[1:] - 1] = False
         flat[body] = low[inner[body]]
         word = np.repeat(np.arange(len(size)), size)
+        # where a word was cut is no boundary
+        word[at[:-1][begun[first]]] = word[at[1:][goes_on[first]] - 1] = -1
         grams, owner = [], []
         for n in GRAMS:
             g = Ranges(flat).grams(n)
-            inside = word[: len(g)] == word[n - 1 :] if len(g) else np.empty(0, bool)
+            inside = (word[: len(g)] == word[n - 1 :]) & (word[: len(g)] >= 0) if len(g) else np.empty(0, bool)
             grams.append(g[inside])
             owner.append(word[: len(g)][inside])
         self.gram, self.owner = np.concatenate(grams), np.concatenate(owner)

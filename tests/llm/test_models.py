@@ -91,6 +91,24 @@ def test_toxicity_held_out(spark):
     assert got[1] == got[2] and got[3] > 0.5
 
 
+def test_long_runs_are_read_to_their_end():
+    text = "".join(chr(0x4E00 + i * 37 % 9000) for i in range(400)) + "idiozz" + "x" * 64 + " " + "y" * 65
+    buf, offs = text_view(pa.array([text, "idiozz " + text[:8]]))
+    t = toxicity.Tokens(buf, offs)
+    want = {g for w in [*text.split(), "idiozz", text[:8]] for b in [f"_{w}_".encode()] for n in toxicity.GRAMS for g in toxicity.Ranges(np.frombuffer(b, np.uint8)).grams(n).tolist()}
+    assert set(t.gram.tolist()) == want
+    assert np.bincount(t.row)[1] == 2 and (np.diff(t.row) >= 0).all()
+
+
+@pytest.mark.parametrize("gap", ["\u00a0", "\u3000", "\u2014"])
+def test_toxic_passage_late_in_a_run_without_spaces(gap):
+    data = texts_of(1, 300)
+    net = toxicity.fit([s.join(t.split()) for t, _ in data for s in (" ", gap)], np.repeat([y for _, y in data], 2))
+    calm = gap.join(prose(random.Random(3), 600)[:-1].split())
+    plain, toxic = net.scores(*text_view(pa.array([calm, gap.join([calm, "idiozz", "scumzz", "vilezza", "idiozz", "vilezzb", calm])])))
+    assert plain < 0.5 < toxic
+
+
 def test_toxicity_of_one_class(spark, nothing):
     docs = rows(spark, [(1, "a"), (2, "b")], "doc_id bigint, text string")
     labels = rows(spark, [(1, 0)], "doc_id bigint, toxic int")
