@@ -23,6 +23,7 @@ DIMENSIONS = 512
 GRAM = 3
 SHARPNESS = 40.0
 CACHE_GRAMS = 60_000
+BLOCK, CELLS = 1 << 15, 1 << 24
 _LETTERS: dict[int, np.ndarray] = {}
 
 
@@ -91,7 +92,7 @@ def gram_counts(texts: list[str | None], size: int = GRAM) -> tuple[np.ndarray,
     head = head[code[head] != 0]
     code, row = np.insert(code, head, 0), np.insert(row, head, row[head])
     k = len(alphabet)
-    if k**size > 1 << 40:
+    if k**size > 1 << 62:
         raise ValueError(f"{k} letters in one chunk; n-grams of {size} of them have no code")
     n = max(len(code) - size + 1, 0)
     gram = np.zeros(n, np.int64)
@@ -115,15 +116,23 @@ def gram_counts(texts: list[str | None], size: int = GRAM) -> tuple[np.ndarray,
 
 
 def bundle(group: np.ndarray, n: int, spelled: np.ndarray, gram: np.ndarray, count: np.ndarray, dimensions: int = DIMENSIONS) -> np.ndarray:
-    """The bundled vectors of ``n`` groups of n-grams: their counts times the n-grams' vectors."""
+    """The bundled vectors of ``n`` groups of n-grams: their counts times the n-grams' vectors, at
+    most ``BLOCK`` n-grams and about ``CELLS`` counts at once."""
     grams = _GRAMS.setdefault((dimensions, spelled.shape[1]), Grams(dimensions, spelled.shape[1]))
-    if not len(spelled):
-        return np.zeros((n, dimensions), np.float32)
-    rows = grams.rows(spelled)
-    vectors = grams.table[rows].astype(np.float32)
-    dense = np.zeros((n, len(spelled)), np.float32)
-    np.add.at(dense, (group, gram), count.astype(np.float32))
-    return dense @ vectors
+    out = np.zeros((n, dimensions), np.float32)
+    step = max(1, min(BLOCK, CELLS // max(n, 1)))
+    if len(spelled) > step:
+        order = np.argsort(gram, kind="stable")
+        group, gram, count = group[order], gram[order], count[order]
+    for i in range(0, len(spelled), step):
+        some = spelled[i : i + step]
+        lo, hi = np.searchsorted(gram, [i, i + step]) if len(spelled) > step else (0, len(gram))
+        rows = grams.rows(some)
+        vectors = grams.table[rows].astype(np.float32)
+        dense = np.zeros((n, len(some)), np.float32)
+        np.add.at(dense, (group[lo:hi], gram[lo:hi] - i), count[lo:hi].astype(np.float32))
+        out += dense @ vectors
+    return out
 
 
 def profiles(texts: list[str | None], dimensions: int = DIMENSIONS, size: int = GRAM) -> tuple[np.ndarray, np.ndarray]:

@@ -188,6 +188,22 @@ def test_language_held_out(spark, docs, nothing):
     assert langid.predict(nothing, prototypes).count() == 0 and langid.train(nothing) == {}
 
 
+def test_a_text_of_all_ideographs_and_syllables(spark):
+    letters = [chr(c) for a, b in ((0x3400, 0x4DC0), (0x4E00, 0xA000), (0xAC00, 0xD7A4)) for c in range(a, b)]
+    random.Random(2).shuffle(letters)
+    text = "".join(letters)
+    v, has = langid.profiles([text, "the and", None])
+    want = np.zeros(langid.DIMENSIONS)
+    codes = [0, *map(ord, letters), 0]
+    for gram in zip(codes, codes[1:], codes[2:], strict=False):
+        want += np.prod([np.roll(langid.letter_vector(c, langid.DIMENSIONS), 2 - p) for p, c in enumerate(gram)], axis=0)
+    assert v[0].tolist() == want.tolist() and has.tolist() == [True, True, False]
+    assert v[1].tolist() == langid.profiles(["the and"])[0][0].tolist()
+    d = rows(spark, [(1, text, "zh"), (2, "the and other words", "en"), (3, text[::2], None)], "doc_id bigint, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in langid.predict(d, langid.train(d)).collect()}
+    assert got[1] == "zh" and got[2] == "en" and len(got) == 3
+
+
 def test_profiles_bundle_bound_grams():
     v, has = langid.profiles(["ab", "AB!", "", "5"])
     a, b, gap = (langid.letter_vector(c, langid.DIMENSIONS).astype(int) for c in (97, 98, 0))
