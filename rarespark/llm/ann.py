@@ -156,8 +156,8 @@ def search(df: DataFrame, is_query, k: int = 20, vector: str = "embedding", key:
     rows of largest inner product found, nearest first, ties to the smaller id.
 
     A query's candidates are all valid rows of another id. Tables of fewer than 32 ``k`` rows have
-    one part, so every candidate is compared; in larger ones a query gets what its probed parts
-    hold. Repeated ids are rows of their own but never neighbours of each other, and each of
+    one part, so every candidate is compared; in larger ones a query is compared with what its
+    probed parts hold, and goes on to its next parts until these hold ``k`` candidates. Repeated ids are rows of their own but never neighbours of each other, and each of
     them asks; results of equal ids merge. Empty tables give no rows.
     """
     rows = valid(df, vector, key)
@@ -171,18 +171,26 @@ def search(df: DataFrame, is_query, k: int = 20, vector: str = "embedding", key:
             part = router.parts(_matrix(b.column(1)), 1)[:, 0] if b.num_rows else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(part, pa.int32())], ["vec_id", "v", "part"])
 
+    # a part's rows are dealt over blocks by id; blocks follow the largest part's size
+    placed = rows.mapInArrow(place, _V + ", part int")
+    held = np.zeros(parts, np.int64)
+    for r in placed.groupBy("part").count().collect():
+        held[r.part] = r["count"]
+    blocks = max(1, -(-int(held.max()) // BLOCK))
+
     def route(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            part = router.parts(_matrix(b.column(1)), router.probes) if b.num_rows else np.empty((0, 1), np.int64)
-            rows_ = np.repeat(np.arange(b.num_rows), part.shape[1])
-            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows_)) for c in b.columns), pa.array(part.ravel(), pa.int32())], ["vec_id", "v", "part"])
+            part = router.parts(_matrix(b.column(1)), parts) if b.num_rows else np.empty((0, 1), np.int64)
+            # on down the ranked parts until these hold k rows besides those of the query's own id
+            before = np.cumsum(held[part], axis=1) - held[part]
+            asks = (np.arange(part.shape[1]) < router.probes) | (before < k + np.asarray(b.column(2))[:, None])
+            rows_, rank = np.nonzero(asks)
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows_)) for c in b.columns[:2]), pa.array(part[rows_, rank], pa.int32())], ["vec_id", "v", "part"])
 
-    # a part's rows are dealt over blocks by id; blocks follow the largest part's size
-    placed = rows.mapInArrow(place, _V + ", part int")
-    largest = placed.groupBy("part").count().agg(F.coalesce(F.max("count"), F.lit(1))).first()[0] if n else 1
-    blocks = max(1, -(-largest // BLOCK))
     side = placed.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    asked = rows.where(is_query).mapInArrow(route, _V + ", part int").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    repeated = rows.groupBy("vec_id").agg(F.count("*").alias("own")).where("own > 1")
+    asking = rows.where(is_query).join(repeated, "vec_id", "left").select("vec_id", "v", F.coalesce("own", F.lit(1)).alias("own"))
+    asked = asking.mapInArrow(route, _V + ", part int").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def best(key: tuple[pa.Scalar, ...], queries: pa.Table, held: pa.Table) -> pa.Table:
         names = ["query_id", "vec_id", "score"]

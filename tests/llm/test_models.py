@@ -155,6 +155,15 @@ def test_few_vectors_and_ties(spark, monkeypatch):
     assert ann.search(df.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_small_parts_are_filled_up_from_the_next(spark, monkeypatch):
+    w2 = np.array([[1, 0], [0, 1]], np.float32)
+    monkeypatch.setattr(ann, "fit", lambda *_: ann.Router(np.eye(2, dtype=np.float32), np.zeros(2, np.float32), w2, np.zeros(2, np.float32)))
+    data = [(i, [1.0, i / 1000]) for i in range(197)] + [(i, [0.1, 1.0]) for i in (197, 198, 199, 199, 199)]
+    d = rows(spark, data, "vec_id bigint, embedding array<float>")
+    got = ann.search(d, F.col("vec_id").isin(3, 197, 198), k=5).groupBy("query_id").count().collect()
+    assert {r.query_id: r["count"] for r in got} == {3: 5, 197: 5, 198: 5}
+
+
 def test_graph_parts_are_balanced():
     x = np.random.RandomState(0).normal(size=(512, 4))
     label = ann.cut(ann.neighbours(x, 8), 8)
