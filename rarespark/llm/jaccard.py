@@ -273,7 +273,7 @@ def _links(it: Iterator[pa.RecordBatch], classes: Classes, least: list[int], thr
         number = (band.view(np.uint64) & np.uint64(63)).astype(np.int64)
         distinct, place = np.unique(key.view(np.uint64), return_inverse=True)
         sig, sets = classes.get(distinct)
-        batch = distinct, sig, np.ascontiguousarray((bands(sig) >> np.uint64(32)).astype(np.uint32).T), sets
+        batch = distinct, sig, np.ascontiguousarray(bands(sig).T), sets
         held, n = [], 0
         for h, e in zip(heads.tolist(), ends.tolist(), strict=True):
             if i[h] == j[h]:

@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -324,6 +325,18 @@ def test_join_keeps_one_of_each(docs, corpus, nothing, spark):
     assert sorted((r.doc_id is not None, r.doc_id or 0) for r in jaccard.one_of_each(odd).collect()) == [(False, 0), (False, 0), (True, 1), (True, 2)]
 
 
+def test_bands_that_agree_by_half_are_not_one(monkeypatch):
+    sig = np.arange(2 * jaccard.VALUES, dtype=np.uint32).reshape(2, -1) % jaccard.VALUES
+    high = np.uint64(7 << 32)
+    monkeypatch.setattr(jaccard, "bands", lambda s: np.array([[high | np.uint64(64), 129], [high | np.uint64(128), 129]], np.uint64))
+    sets = (np.tile(np.arange(9, dtype=np.uint64), 2), np.array([0, 9, 18]))
+    monkeypatch.setattr(jaccard, "verified", lambda x, y, *_: np.ones(len(x), bool))
+    held = type("Held", (), {"get": lambda self, keys: (sig[: len(keys)], sets)})()
+    batch = pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in ([129, 129], [5, 6], [0, 0], [0, 0], [0, 0])], ["band", "key", "i", "j", "block"])
+    got = [r for b in jaccard._links(iter([batch]), held, jaccard.least_matches(), 0.8) for r in b.to_pylist()]
+    assert sorted((r["key"], r["links"], r["root"]) for r in got) == [(5, 1, 5), (6, 1, 5)]
+
+
 def test_found_links():
     u = lambda *x: np.array(x, np.uint64)
     found = jaccard.Found()
