@@ -403,12 +403,13 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, size: int = WORDS, text:
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, size: int = WORDS) -> DataFrame:
-    """The rows of ``docs`` of smallest doc_id of each class. Rows without an id all stay; of
-    repeated rows of one id, one stays."""
-    got = join(docs.where("doc_id is not null"), threshold, size)
-    kept = got.where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    ids = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
-    return ids.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """Of each class of ``docs`` the row of smallest doc_id, of equal ids that of the smaller hash
+    of its text. Rows without an id all stay; of repeated rows of one id and text, one stays."""
+    row = F.struct("doc_id", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
+    named = docs.where("doc_id is not null").withColumn("_row", row)
+    got = join(named, threshold, size, key="_row")
+    kept = got.where(F.col("_row") == F.col("class_id")).select("_row").distinct()
+    return named.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row").select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def op8(docs: DataFrame) -> DataFrame:

@@ -325,6 +325,13 @@ def test_join_keeps_one_of_each(docs, corpus, nothing, spark):
     assert sorted((r.doc_id is not None, r.doc_id or 0) for r in jaccard.one_of_each(odd).collect()) == [(False, 0), (False, 0), (True, 1), (True, 2)]
 
 
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    a, b, c = "a b c d e f g", "h i j k l m n", "o p q r s t u"
+    odd = spark.createDataFrame([(1, a), (1, b), (1, b), (2, b), (3, c), (3, a), (4, None), (4, "")], "doc_id bigint, text string")
+    got = sorted((r.doc_id, str(r.text)) for r in jaccard.one_of_each(odd).collect())
+    assert got == sorted([(1, a), (1, b), (3, c), (4, "None"), (4, "")])
+
+
 def test_bands_that_agree_by_half_are_not_one(monkeypatch):
     sig = np.arange(2 * jaccard.VALUES, dtype=np.uint32).reshape(2, -1) % jaccard.VALUES
     high = np.uint64(7 << 32)
