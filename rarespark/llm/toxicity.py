@@ -24,7 +24,7 @@ from rarespark.llm.common import batches, carried, extended, remainder, text_vie
 from rarespark.llm.hashing import Ranges, mix
 
 SAMPLE = 2_500
-LENGTH, STRIDE = 32, 16
+LENGTH, STRIDE = 32, 8
 BINS, ROWS = 1 << 18, 1 << 13
 WORD_DIM = CHAR_DIM = 4
 HIDDEN, ATTENTION = 8, 8

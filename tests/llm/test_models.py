@@ -77,6 +77,12 @@ def test_windows_reach_every_word():
     assert of.tolist().count(1) == 1
 
 
+def test_a_passage_of_25_words_lies_whole_in_a_window():
+    first, size, _ = toxicity.windows(np.zeros(100, np.int64), 1)
+    for at in range(16, 32):
+        assert ((first <= at) & (first + size >= at + 25)).any(), at
+
+
 def test_toxicity_held_out(spark):
     data = [(i, t, y) for i, (t, y) in enumerate(texts_of(1, 450))]
     docs = rows(spark, [(i, t) for i, t, _ in data], "doc_id bigint, text string")
