@@ -37,3 +37,17 @@ def test_query_equals_its_sql(spark, duck, name):
 
 def test_entry_runs(spark):
     assert entry.entry(spark).count() == 1
+
+
+def test_evaluate_grid_runs_all_splits(monkeypatch):
+    import inspect
+
+    from rarespark.plans import queries as q
+
+    asked = []
+    signature = inspect.signature(q.evaluate)
+    monkeypatch.setattr(q, "frame", lambda *_: None)
+    monkeypatch.setattr(q, "evaluate", lambda *a, **k: asked.append(signature.bind(*a, **k)))
+    q.evaluate_grid(None, None)
+    asked[0].apply_defaults()
+    assert asked[0].arguments["n_reps"] == 50
