@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from rarespark.llm.common import batches, extended
-from rarespark.llm.hashing import Ranges, chain
+from rarespark.llm.hashing import Ranges, chain, mix
 from rarespark.llm.store import Store, bucket_count, tally, text_bytes
 
 PIECE = 8 << 20
@@ -62,7 +62,7 @@ class Runs:
         end[:-1] &= ~valid[1:] | (low[1:] != low[:-1])
         self.last = np.flatnonzero(end)
         self.anchor = low[self.first].astype(np.int64)
-        self.gram = grams[self.anchor]
+        self.gram = mix(grams[self.anchor])  # least of many, so near 0: spread again over the buckets
 
     def whole(self, which: np.ndarray) -> np.ndarray:
         f = self.first[which]
