@@ -24,6 +24,7 @@ SAMPLE = 10_000
 RECALL = 0.965
 BLOCK = 20_000
 HIDDEN = 128
+PER_PART = 40
 
 
 def valid(df: DataFrame, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
@@ -155,14 +156,17 @@ def search(df: DataFrame, is_query, k: int = 20, vector: str = "embedding", key:
     """(query_id, rank, vec_id, score): for each valid row where ``is_query`` holds, its ``k``
     rows of largest inner product found, nearest first, ties to the smaller id.
 
-    A query's candidates are all valid rows of another id. Tables of fewer than 32 ``k`` rows have
-    one part, so every candidate is compared; in larger ones a query is compared with what its
-    probed parts hold, and goes on to its next parts until these hold ``k`` candidates. Repeated ids are rows of their own but never neighbours of each other, and each of
-    them asks; results of equal ids merge. Empty tables give no rows.
+    A query's candidates are all valid rows of another id. It is compared with what its probed
+    parts hold, and goes on to its next parts until these hold ``k`` candidates; so it gets ``k``
+    neighbours, or all candidates where these are fewer. Rows that share an id are one item with
+    several vectors: two items score as their best pair of vectors does, an item is listed once
+    for a query and is never its own neighbour. Empty tables give no rows. There is a part for
+    every 4 ``k`` rows, as far as each then has ``PER_PART`` sampled vectors to learn from: give a
+    larger ``sample`` for more parts.
     """
     rows = valid(df, vector, key)
     n = rows.count()
-    parts = 1 << max(0, min(6, int(np.log2(max(n, 1) / (16 * k))))) if n >= 32 * k else 1
+    parts = 1 << max(0, int(np.log2(max(1.0, min(n / (4 * k), min(n, sample) / PER_PART)))))
     got = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()
     router = fit(_matrix(got.column("v").combine_chunks()), parts, k)
 
@@ -171,26 +175,26 @@ def search(df: DataFrame, is_query, k: int = 20, vector: str = "embedding", key:
             part = router.parts(_matrix(b.column(1)), 1)[:, 0] if b.num_rows else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(part, pa.int32())], ["vec_id", "v", "part"])
 
-    # a part's rows are dealt over blocks by id; blocks follow the largest part's size
+    # a part's rows are dealt over blocks by id; blocks follow the largest part's size. Only items
+    # whose vectors all lie in one part count for it, so counts of several parts add up.
     placed = rows.mapInArrow(place, _V + ", part int")
-    held = np.zeros(parts, np.int64)
-    for r in placed.groupBy("part").count().collect():
-        held[r.part] = r["count"]
+    held, own = np.zeros(parts, np.int64), np.zeros(parts, np.int64)
+    item = placed.groupBy("vec_id").agg(F.min("part").alias("part"), F.max("part").alias("b"), F.count("*").alias("n"))
+    for r in item.groupBy("part").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("part") == F.col("b"), 1).otherwise(0)).alias("own")).collect():
+        held[r.part], own[r.part] = r.n, r.own
     blocks = max(1, -(-int(held.max()) // BLOCK))
 
     def route(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             part = router.parts(_matrix(b.column(1)), parts) if b.num_rows else np.empty((0, 1), np.int64)
-            # on down the ranked parts until these hold k rows besides those of the query's own id
-            before = np.cumsum(held[part], axis=1) - held[part]
-            asks = (np.arange(part.shape[1]) < router.probes) | (before < k + np.asarray(b.column(2))[:, None])
+            # on down the ranked parts until these hold k items besides the query's own
+            before = np.cumsum(own[part], axis=1) - own[part]
+            asks = (np.arange(part.shape[1]) < router.probes) | (before < k + 1)
             rows_, rank = np.nonzero(asks)
-            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows_)) for c in b.columns[:2]), pa.array(part[rows_, rank], pa.int32())], ["vec_id", "v", "part"])
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows_)) for c in b.columns), pa.array(part[rows_, rank], pa.int32())], ["vec_id", "v", "part"])
 
     side = placed.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    repeated = rows.groupBy("vec_id").agg(F.count("*").alias("own")).where("own > 1")
-    asking = rows.where(is_query).join(repeated, "vec_id", "left").select("vec_id", "v", F.coalesce("own", F.lit(1)).alias("own"))
-    asked = asking.mapInArrow(route, _V + ", part int").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = rows.where(is_query).mapInArrow(route, _V + ", part int").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def best(key: tuple[pa.Scalar, ...], queries: pa.Table, held: pa.Table) -> pa.Table:
         names = ["query_id", "vec_id", "score"]
@@ -199,28 +203,37 @@ def search(df: DataFrame, is_query, k: int = 20, vector: str = "embedding", key:
             return pa.table([pa.array([], t) for t in kinds], names)
         ids = np.asarray(held.column("vec_id").combine_chunks())
         order = np.argsort(ids, kind="stable")
-        ids, x = ids[order], _matrix(held.column("v").combine_chunks())[order]
+        x = _matrix(held.column("v").combine_chunks())[order]
+        ids, first = np.unique(ids[order], return_index=True)
+        last = np.r_[first[1:], len(x)]
         q_ids, q = np.asarray(queries.column("vec_id").combine_chunks()), _matrix(queries.column("v").combine_chunks())
         out = []
-        step = max(1, (1 << 22) // len(ids))
+        step = max(1, (1 << 22) // len(x))
         for i in range(0, len(q), step):
             s = q[i : i + step] @ x.T
+            if len(ids) < len(x):
+                s = np.maximum.reduceat(s, first, axis=1)
             s[q_ids[i : i + step, None] == ids] = -np.inf
             m = min(k, len(ids))
             least = -np.partition(-s, m - 1, axis=1)[:, m - 1]
-            r, c = np.nonzero((s >= least[:, None]) & (s > -np.inf))
-            v = s[r, c]
+            # a matrix product rounds as its shape has it: near ties all go on
+            slack = 1e-9 * np.maximum(np.abs(least), 1e-30)
+            r, c = np.nonzero((s >= (least - slack)[:, None]) & (s > -np.inf))
+            # products summed term by term, so that a pair scores the same in any block
+            v = (q[i + r] * x[first[c]]).sum(1)
+            for z in np.flatnonzero(last[c] - first[c] > 1):
+                v[z] = (q[i + r[z]] * x[first[c[z]] : last[c[z]]]).sum(1).max()
             o = np.lexsort((ids[c], -v, r))
             r, c, v = r[o], c[o], v[o]
             keep = np.arange(len(r)) - np.searchsorted(r, r) < k
-            r, c = r[keep], c[keep]
-            # products summed term by term, so that a pair scores the same in any block
-            out.append((q_ids[i + r], ids[c], (q[i + r] * x[c]).sum(1)))
+            out.append((q_ids[i + r[keep]], ids[c[keep]], v[keep]))
         return pa.table([pa.array(np.concatenate(z), t) for z, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     found = asked.groupBy("part", "block").cogroup(side.groupBy("part", "block")).applyInArrow(best, "query_id bigint, vec_id bigint, score double")
+    # one exchange by query serves both: an item found by several of its vectors counts once
+    once = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return once.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op3(embeddings: DataFrame) -> DataFrame:
