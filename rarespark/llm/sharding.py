@@ -4,7 +4,8 @@ Rows are ordered by a 126-bit key (hash of the text, then hash of the row), so t
 lie together. Splitters between shards are found without moving a row: each round counts, with
 map-side partial sums, the exact bytes below candidate boundaries in every bracket that is still
 too wide, and keeps the cell that holds a target; a text whose copies outweigh the tolerance is
-split inside, by the row hash. When all splitters meet the tolerance the rows are exchanged once,
+split inside, by the row hash. Where equal rows alone outweigh it, rows are written out with a
+number of their own, which then is part of the row hash. When all splitters meet the tolerance the rows are exchanged once,
 by fine cells of the same key, whose exact counts give each row its slot.
 """
 
@@ -18,6 +19,8 @@ from pyspark.sql.window import Window
 from rarespark.llm.common import materialize
 
 HASH_BITS = 62
+CELL_ROWS = 500_000
+COUNTS = 1 << 18
 
 
 def _hash62(*cols) -> Column:
@@ -37,9 +40,10 @@ def keyed(df: DataFrame, text: str = "text", row: tuple[str, ...] | None = None)
     )
 
 
-def _refine(keys: DataFrame, targets: list[int], tolerance: int, fanout: int) -> list[tuple[int, int]]:
+def _refine(keys: DataFrame, targets: list[int], tolerance: int, fanout: int) -> list[tuple[int, int]] | None:
     """For each target the boundary (hi, lo) below which the bytes come within ``tolerance`` of
-    it, or within one row. A boundary's lo is 0 unless copies of one text hold too much."""
+    it, or within one row. A boundary's lo is 0 unless copies of one text hold too much. None if
+    rows of one key hold too much."""
     open_ = [{"hi": None, "lo": 0, "width": 1 << HASH_BITS, "below": 0, "t": t} for t in targets]
     done: dict[int, tuple[int, int]] = {}
     while open_:
@@ -51,17 +55,18 @@ def _refine(keys: DataFrame, targets: list[int], tolerance: int, fanout: int) ->
         edges = sorted({e for span in spans for e in span})
         which = {edges.index(first): i for i, (first, _) in enumerate(spans)}  # brackets don't overlap
         piece = _below(edges)
+        fan = max(8, min(fanout, COUNTS // len(order)))  # bounds what a round sends to the driver
         mode, base, steps = [-1] * (len(edges) + 1), [0] * (len(edges) + 1), [1] * (len(edges) + 1)
         for e, i in which.items():
             hi, lo, width = order[i]
-            mode[e + 1], base[e + 1], steps[e + 1] = int(hi is not None), lo, max(1, width // fanout)
+            mode[e + 1], base[e + 1], steps[e + 1] = int(hi is not None), lo, max(1, width // fan)
         rule = f"(if({_at(mode, 'int', '_p')} = 0, _hi, _lo) - {_at(base, 'bigint', '_p')}) div {_at(steps, 'bigint', '_p')}"
         counts: dict[int, dict[int, tuple[int, int]]] = {}
         for r in keys.withColumn("_p", piece).where(f"{_at(mode, 'int', '_p')} >= 0").withColumn("_c", F.expr(rule)).groupBy("_p", "_c").agg(F.sum("_size").alias("b"), F.count("*").alias("n")).collect():
             counts.setdefault(which[r["_p"] - 1], {})[r["_c"]] = (r.b, r.n)
         open_ = []
         for i, (hi, lo, width) in enumerate(order):
-            step = max(1, width // fanout)
+            step = max(1, width // fan)
             found = counts.get(i, {})
             for o in brackets[hi, lo, width]:
                 below, at, inner, rows = o["below"], lo, 0, 0
@@ -72,7 +77,9 @@ def _refine(keys: DataFrame, targets: list[int], tolerance: int, fanout: int) ->
                     below, at, inner, rows = below + inner, at + step, 0, 0
                 where = (lambda v: (v, 0)) if hi is None else (lambda v, h=hi: (h, v))
                 left, right = o["t"] - below, below + inner - o["t"]
-                if min(left, right) <= tolerance or rows <= 1 or (hi is not None and step == 1):
+                if min(left, right) > tolerance and rows > 1 and hi is not None and step == 1:
+                    return None
+                if min(left, right) <= tolerance or rows <= 1:
                     done[o["t"]] = where(at if left <= right else at + step)
                 elif step > 1:
                     open_.append({"hi": hi, "lo": at, "width": step, "below": below, "t": o["t"]})
@@ -97,24 +104,36 @@ def _below(splits: list[tuple[int, int]]) -> Column:
     return F.expr(f"{coarse} * {wide} + size(filter(slice({array(splits)}, {coarse} * {wide} + 1, {wide}), s -> s <= {key}))")
 
 
-def shard_by_bytes(df: DataFrame, shards: int = 16, text: str = "text", tolerance: float = 0.0005, cells: int = 16, fanout: int = 1024, row: tuple[str, ...] | None = None) -> DataFrame:
+def shard_by_bytes(df: DataFrame, shards: int = 16, text: str = "text", tolerance: float = 0.0005, cells: int | None = None, fanout: int = 1024, row: tuple[str, ...] | None = None) -> DataFrame:
     """All rows of ``df`` with ``_size``, ``shard`` (0 to shards - 1) and ``slot`` (0 up, gapless
     within a shard).
 
     A shard's bytes (text bytes plus 1 a row, null: none) come within ``tolerance`` of the mean at
-    either end, or within one row. Equal texts share a shard unless their own bytes exceed that.
-    ``cells`` ordered pieces of each shard are numbered apart, so no task sorts a whole shard; at
-    larger inputs raise it. Rows that agree in all key columns are interchangeable: they fall to
-    one shard together. Empty input: no rows. Columns named _size, _hi, _lo, shard or slot are
-    replaced.
+    either end, or within one row. Equal texts share a shard unless their own bytes exceed that;
+    so do equal rows, of which any may then go to either side. ``cells`` ordered pieces of each
+    shard are numbered apart, so no task sorts a whole shard: by default 16, and more for every
+    ``CELL_ROWS`` rows. Empty input: no rows. Null ids and texts count like values of their own;
+    columns named _size, _hi, _lo, _tie, _cell, shard or slot are replaced.
     """
-    df = df.drop("_size", "_hi", "_lo", "_cell", "shard", "slot")
+    df = df.drop("_size", "_hi", "_lo", "_tie", "_cell", "shard", "slot")
+    got = _sharded(df, shards, text, tolerance, cells, fanout, row)
+    if got is None:  # equal rows hold too much: give each a number that stays
+        numbered = materialize(df.withColumn("_tie", F.monotonically_increasing_id()), "shard-rows")
+        row = (*(row or [c for c, kind in df.dtypes if "map<" not in kind and c != text]), "_tie")
+        got = _sharded(numbered, shards, text, tolerance, cells, fanout, row).drop("_tie")
+    return got
+
+
+def _sharded(df: DataFrame, shards: int, text: str, tolerance: float, cells: int | None, fanout: int, row: tuple[str, ...] | None) -> DataFrame | None:
     k = keyed(df, text, row)
     keys = materialize(k.select("_hi", "_lo", "_size"), "shard-keys")
-    total = keys.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
-    n = shards * cells
+    total, rows = keys.agg(F.coalesce(F.sum("_size"), F.lit(0)), F.count("*")).first()
+    n = shards * (cells or max(16, -(-rows // (shards * CELL_ROWS))))
     targets = sorted({total * i // n for i in range(1, n)} - {0})
-    at = dict(zip(targets, _refine(keys, targets, int(total / shards * tolerance), fanout), strict=True))
+    found = _refine(keys, targets, int(total / shards * tolerance), fanout)
+    if found is None:
+        return None
+    at = dict(zip(targets, found, strict=True))
     ends = [at[t] for i in range(1, shards) if (t := total * i // shards) in at]
     splits = sorted(set(at.values()))
     sizes = dict(keys.withColumn("_cell", _below(splits)).groupBy("_cell").count().collect())

@@ -144,7 +144,9 @@ def test_a_hot_text_is_split(spark):
 def test_sharding_of_nothing_and_of_equal_rows(nothing, spark):
     assert sharding.shard_by_bytes(nothing).count() == 0
     df = spark.createDataFrame([(1, "a")] * 50, "doc_id bigint, text string")
-    assert sorted(r.slot for r in sharding.shard_by_bytes(df, 4).collect()) == list(range(50))
+    got = sharding.shard_by_bytes(df, 4).collect()
+    of = [sorted(r.slot for r in got if r.shard == s) for s in range(4)]
+    assert all(s == list(range(len(s))) for s in of) and sorted(map(len, of)) in ([12, 12, 13, 13], [12, 12, 12, 14], [11, 13, 13, 13])
 
 
 # ---- 5 ---------------------------------------------------------------------------------------
