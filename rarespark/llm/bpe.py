@@ -3,13 +3,16 @@
 A text is cut by the tokenizer's pattern; each worker keeps the ids of pieces it has met. The new
 pieces of a batch are merged together: their symbols lie in one flat array, every round finds the
 rank of each neighbouring pair by binary search over the sorted pair keys, takes each piece's
-lowest rank and merges all its occurrences, until no pair has a rank. The result of a piece does
+lowest rank and merges all its occurrences, until no pair has a rank. What is left of long pieces
+after ``ROUNDS`` goes on in rounds of one rank each, lowest first, that touch only the places where
+this rank occurs, so a piece of any length costs in proportion to it. The result of a piece does
 not depend on the batch, so neither batches nor the bounded cache change any text's ids.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -21,6 +24,7 @@ from pyspark.sql import DataFrame
 from rarespark.llm.common import extended, sub_batches
 
 CACHE_PIECES = 400_000
+ROUNDS = 48
 _NONE = np.int64(1) << 62
 
 # The white space of the tokenizer's pattern, and the pattern itself.
@@ -76,7 +80,11 @@ class Tokenizer:
         out: list[bytes] = [b""] * len(words)
         ids = self.first[np.frombuffer(b"".join(words), np.uint8)]
         word = np.repeat(np.arange(len(words)), sizes)
+        turn = 0
         while len(ids):
+            if turn == ROUNDS:
+                ids, word = self._by_rank(ids, word)
+            turn += 1
             best = np.full(len(ids), _NONE)
             if len(ids) > 1:
                 key = ids[:-1] << 32 | ids[1:]
@@ -112,6 +120,62 @@ class Tokenizer:
             ids, word = ids[keep], word[keep]
         return out
 
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 32 | right
+        at = np.searchsorted(self.keys, key)
+        at[at == len(self.keys)] = 0
+        return np.where(self.keys[at] == key, self.rank[at], _NONE)
+
+    def _by_rank(self, ids: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merge all there is to merge. Symbols are a linked list; ``waiting`` holds, by rank, the
+        places where a pair of that rank was seen, of which some may be gone by its turn."""
+        n = len(ids)
+        ids, live = ids.copy(), np.ones(n, bool)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        last = np.r_[word[1:] != word[:-1], True]
+        after[last] = n
+        before[np.r_[True, last[:-1]]] = -1
+        now = np.full(n, _NONE)  # the rank of the pair that begins at a place
+        waiting: dict[int, list[np.ndarray]] = {}
+        queue: list[int] = []
+
+        def see(at: np.ndarray) -> None:
+            now[at] = _NONE
+            at = at[after[at] < n]
+            rank = self._ranks(ids[at], ids[after[at]])
+            now[at] = rank
+            at, rank = at[rank < _NONE], rank[rank < _NONE]
+            order = np.argsort(rank, kind="stable")
+            at, rank = at[order], rank[order]
+            heads = np.flatnonzero(np.r_[True, rank[1:] != rank[:-1]]) if len(rank) else rank
+            for r, places in zip(rank[heads].tolist(), np.split(at, heads[1:]), strict=True) if len(rank) else ():
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(queue, r)
+                waiting[r].append(places)
+
+        see(np.arange(n))
+        while queue:
+            rank = heapq.heappop(queue)
+            at = np.unique(np.concatenate(waiting.pop(rank)))
+            at = at[live[at] & (now[at] == rank)]
+            # a pair of one symbol with itself overlaps its neighbour: every second one of a run
+            follows = np.r_[False, after[at[:-1]] == at[1:]] if len(at) else np.empty(0, bool)
+            if follows.any():
+                starts = np.flatnonzero(~follows)
+                place = np.arange(len(at))
+                at = at[(place - starts[np.searchsorted(starts, place, "right") - 1]) % 2 == 0]
+            if not len(at):
+                continue
+            gone = after[at]
+            ids[at] = self.made[rank]
+            live[gone] = False
+            after[at] = after[gone]
+            on = after[at] < n
+            before[after[at[on]]] = at[on]
+            see(np.unique(np.r_[at, before[at[before[at] >= 0]]]))
+        return ids[live], word[live]
+
     def _pieces(self, text: str) -> list[str]:
         if self.cut is None:
             return self.find(text)
