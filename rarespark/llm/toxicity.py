@@ -7,7 +7,8 @@ word of its own, that together hold all the run's n-grams. The network reads eve
 words to the text's end; attention pools the states of both directions, and a text's score is
 that of its highest window, calibrated on whole texts. Forward and backward passes are numpy.
 
-It is trained on the driver, on at most ``SAMPLE`` labelled documents of each class. The model has
+It is trained on the driver, on at most ``SAMPLE`` labelled documents of each class, and on at most
+``SAMPLE_BYTES`` of text: whole texts in the order of the hashed id. The model has
 a fixed size, some MB. Scoring keeps, of a chunk, one input row for each distinct word.
 """
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from rarespark.llm.common import batches, carried, extended, remainder, text_view, words
 from rarespark.llm.hashing import Ranges, mix
 
-SAMPLE = 2_500
+SAMPLE, SAMPLE_BYTES = 2_500, 64 << 20
 LENGTH, STRIDE = 32, 8
 BINS, ROWS = 1 << 18, 1 << 13
 WORD_DIM = CHAR_DIM = 4
@@ -326,17 +327,30 @@ def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(a, 1e-3)), float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int = SAMPLE) -> Network | None:
-    """Fit on at most ``sample`` labelled documents of each class, those of lowest hashed id.
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Network | None:
+    """Fit on at most ``sample`` labelled documents of each class, those of lowest hashed id, whose
+    texts have at most ``sample_bytes`` together: one that would pass this is left out whole. Of
+    repeated rows one is read.
 
-    A null label or id is no label; an id labelled both ways counts with either, if sampled.
+    A null label or id is no label; an id labelled both ways counts with either, if sampled. Other
+    columns, whatever their names, are not read.
     """
     wanted = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "toxic").distinct()
     chosen = None
     for label in (0, 1):
         one = wanted.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         chosen = one if chosen is None else chosen.unionByName(one)
-    got = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(2 * sample).toArrow()
+    joined = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    joined = joined.withColumns({"h": F.xxhash64("doc_id"), "a": F.xxhash64("text"), "n": F.octet_length("text")})
+    joined = joined.dropDuplicates(["h", "doc_id", "toxic", "a"])
+    order = ["h", "doc_id", "toxic", "a"]
+    room, picked = sample_bytes, set()
+    for r in joined.select(*order, "n").orderBy(*order).limit(2 * sample).collect():
+        if r.n <= room:
+            room -= r.n
+            picked.add((r.h, r.a))
+    keep = F.broadcast(docs.sparkSession.createDataFrame(sorted(picked), "h bigint, a bigint"))
+    got = joined.join(keep, ["h", "a"], "left_semi").orderBy(*order).limit(2 * sample).select("text", "toxic").toArrow()
     return fit(got.column("text").to_pylist(), np.asarray(got.column("toxic")))
 
 
