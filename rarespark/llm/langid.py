@@ -155,14 +155,13 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str,
                 sums[x] = sums.get(x, 0) + got[i]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.list_(pa.float64()))], ["lang", "v"])
 
-    def whole(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        v = np.sum([x.as_py() for x in table.column("v")], axis=0)
-        return pa.table({"lang": [key[0].as_py()], "v": pa.array([v], pa.list_(pa.float64()))})
-
-    schema = "lang string, v array<double>"
+    # summed place by place, so that no task holds all of a language's vectors
     only = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    got = only.mapInArrow(partial, schema).groupBy("lang").applyInArrow(whole, schema).collect()
-    return {r.lang: np.array(r.v) for r in sorted(got, key=lambda r: r.lang) if np.any(r.v)}
+    parts = only.mapInArrow(partial, "lang string, v array<double>").select("lang", F.posexplode("v").alias("place", "x"))
+    got: dict[str, np.ndarray] = {}
+    for r in parts.groupBy("lang", "place").agg(F.sum("x").alias("x")).collect():
+        got.setdefault(r.lang, np.zeros(DIMENSIONS))[r.place] = r.x
+    return {x: got[x] for x in sorted(got) if np.any(got[x])}
 
 
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", keep_text: bool = True) -> DataFrame:
