@@ -34,12 +34,15 @@ def remainder(mod: int, col: str = "doc_id"):
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share. Only where the session names none is a local one made."""
+    """The folder all executors share. Where the session names none, a local one is made for a
+    master that runs in this process; beside other masters this is an error."""
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not root:
         root = sc.getCheckpointDir()
     if not root:
+        if not (sc.master or "").startswith("local") or (sc.master or "").startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="rarespark-shared-")
         atexit.register(shutil.rmtree, root[7:], True)
     if not sc.getCheckpointDir():

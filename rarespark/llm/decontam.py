@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rarespark.llm.common import batches, carried, extended, lower_ascii, text_view, words
-from rarespark.llm.hashing import Ranges
+from rarespark.llm.hashing import Fields
 
 SHARD_BYTES = 24 << 20
 BENCHMARK_BYTES = 64 << 20
@@ -34,7 +34,7 @@ _WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 256)]] = True
 def hashed_words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     low = _LOWER[buf]
     starts, ends, row = words(low, offs, _WORD)
-    return Ranges(low)(starts, ends), row, starts, ends
+    return Fields(low)(starts, ends), row, starts, ends
 
 
 class Bits:
@@ -171,17 +171,18 @@ def phrases(benchmark: DataFrame, size: int, text: str = "text", item: str = "it
     hashes, row, _, _ = hashed_words(np.frombuffer(b"".join(data), np.uint8), offs)
     vocabulary = np.unique(hashes)
     symbols = np.searchsorted(vocabulary, hashes) + 1
-    windows: dict[tuple[int, ...], int] = {}
-    pairs = []
-    for i in range(len(rows)):
-        s = symbols[row == i] if len(rows) < 64 else symbols[np.searchsorted(row, i) : np.searchsorted(row, i, "right")]
-        for j in range(max(1, len(s) - size + 1) if len(s) else 0):
-            pairs.append((windows.setdefault(tuple(s[j : j + size].tolist()), len(windows)), i))
-    table = np.zeros((len(windows), size), np.int64)
-    for w, i in windows.items():
-        table[i, : len(w)] = w
+    # every start of a window, its size, and the windows as padded rows of symbols
+    count = np.bincount(row, minlength=len(rows))
+    head = np.r_[0, np.cumsum(count)]
+    of = np.repeat(np.arange(len(rows)), np.where(count > 0, np.maximum(1, count - size + 1), 0))
+    start = head[of] + np.arange(len(of)) - np.searchsorted(of, of)
+    wide = np.minimum(count[of], size)
+    padded = np.r_[symbols, np.zeros(size, symbols.dtype)]
+    cells = np.where(np.arange(size) < wide[:, None], padded[start[:, None] + np.arange(size)], 0) if len(of) else np.zeros((0, size), np.int64)
+    table, which = np.unique(cells, axis=0, return_inverse=True)
+    pairs = np.unique(np.c_[which.reshape(-1), of], axis=0)
     names = [r[0] if r[0] is not None else "" for r in rows]
-    return Phrases(vocabulary, table, (table > 0).sum(1), np.array(sorted(set(pairs)), np.int64).reshape(-1, 2), names)
+    return Phrases(vocabulary, table.astype(np.int64), (table > 0).sum(1), pairs.astype(np.int64).reshape(-1, 2), names)
 
 
 def _shards(it, text: str) -> Iterator[list]:
@@ -250,9 +251,9 @@ def _matches(shard: list, p: Phrases) -> list[tuple]:
                     spans[d].append([a, b])
             pair = np.unique(np.c_[doc, which], axis=0)
             lo, hi = np.searchsorted(p.item_of[:, 0], pair[:, 1]), np.searchsorted(p.item_of[:, 0], pair[:, 1], "right")
-            for d in np.unique(doc):
-                of = np.flatnonzero(pair[:, 0] == d)
-                items[d] = sorted({p.items[k] for x in of for k in p.item_of[lo[x] : hi[x], 1]})
+            cuts = np.r_[np.flatnonzero(np.r_[True, pair[1:, 0] != pair[:-1, 0]]), len(pair)]
+            for i_, j_ in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                items[pair[i_, 0]] = sorted({p.items[k] for x in range(i_, j_) for k in p.item_of[lo[x] : hi[x], 1]})
         out.append((rows, n_words, spans, items, starts, ends, heads))
     del chunk
     return out
@@ -270,12 +271,13 @@ def find(docs: DataFrame, benchmark: DataFrame, size: int = 13, text: str = "tex
     Other columns pass; columns named as the new ones are replaced.
     ``keep_text=False`` leaves the text out of the result, and so out of what goes back to the JVM.
     """
-    p = phrases(benchmark, size)
+    shared = docs.sparkSession.sparkContext.broadcast(phrases(benchmark, size))  # at most some times ``BENCHMARK_BYTES``
     names = ["n_words", "n_hit", "items", "removed", "contaminated"]
     base = docs.drop(*names)
     kinds = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.bool_()]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = shared.value
         for shard in _shards(it, text):
             for rows, n_words, spans, items, starts, ends, heads in _matches(shard, p):
                 buf_at = text_view(rows.column(rows.schema.get_field_index(text)))[1]

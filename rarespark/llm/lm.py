@@ -10,7 +10,8 @@ Nothing but a few totals reaches the driver. Scoring maps the sorted arrays into
 each chunk's distinct tokens and pairs up by binary search. With c a pair's count, D its discount:
 p(w|h) = (c(hw) - D(c)) / c(h) + l(h) p(w), l(h) the discounts' sum over c(h), and p(w) likewise
 from the kinds of predecessors, its own left-over spread evenly over V + 1 tokens. The start of a
-text is a history of its own, its end a token. Hashes of tokens have 64 bits.
+text is a history of its own, its end a token. Tokens are told apart by 93 bits of their bytes, pairs
+by both ids; counts have no upper limit.
 """
 
 from __future__ import annotations
@@ -23,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rarespark.llm.common import batches, carried, extended, local_path, lower_ascii, materialize, new_dir, remainder, resolve, words, write_file
-from rarespark.llm.hashing import Ranges, mix
-from rarespark.llm.store import Store, blocks, bucket_count, gather, pack, tally, text_bytes
+from rarespark.llm.common import batches, carried, extended, local_path, lower_ascii, materialize, new_dir, remainder, words, write_file
+from rarespark.llm.hashing import Fields, mix
+from rarespark.llm.store import Store, blocks, bucket_count, distinct, gather, pack, tally, text_bytes, write_counts
 
-END = np.uint64(0x5A17E9D1C3B24F60)
+END, END_CHECK = np.uint64(0x5A17E9D1C3B24F60), np.uint32(0xFFFFFFFF)  # no word's check has 32 bits
 _LOWER = lower_ascii()
 _WORD = np.ones(256, bool)
 _WORD[[0x20, *range(0x09, 0x0E)]] = False
@@ -44,16 +45,17 @@ def unmix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def token_hashes(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each row's tokens, its end among them, one row after the other; and where rows begin."""
+def token_hashes(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each row's tokens, its end among them, one row after the other; their checks; and where rows begin."""
     low = _LOWER[buf]
     starts, ends, row = words(low, offs, _WORD)
     n = len(offs) - 1
     heads = np.r_[0, np.cumsum(np.bincount(row, minlength=n) + 1)]
-    out = np.empty(len(starts) + n, np.uint64)
-    out[np.arange(len(starts)) + row] = Ranges(low)(starts, ends)
-    out[heads[1:] - 1] = END
-    return out, heads
+    out, checks = np.empty(len(starts) + n, np.uint64), np.empty(len(starts) + n, np.uint32)
+    at, fields = np.arange(len(starts)) + row, Fields(low)
+    out[at], checks[at] = fields(starts, ends), fields.check(starts, ends)
+    out[heads[1:] - 1], checks[heads[1:] - 1] = END, END_CHECK
+    return out, checks, heads
 
 
 def discounts(n: list[int]) -> np.ndarray:
@@ -83,22 +85,20 @@ class Model:
         if bucket not in held:
             if len(held) >= 512:
                 held.clear()
-            uri = f"{self.stats}/{bucket}"
-            filesystem, path = resolve(uri)
-            n = self.base[bucket + 1] - self.base[bucket] if bucket < len(self.base) - 1 else 1
-            held[bucket] = np.memmap(local_path(uri), np.uint32, "r", shape=(4, n)) if filesystem.get_file_info(path).is_file else np.zeros((4, n), np.uint32)
+            n = self.base[bucket + 1] - self.base[bucket] if bucket < len(self.base) - 1 else int(self.texts > 0)
+            held[bucket] = np.memmap(local_path(f"{self.stats}/{bucket}"), np.uint32, "r", shape=(4, n)) if n else np.zeros((4, 1), np.uint32)
         return held[bucket]
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "_held"}
 
-    def score(self, tokens: np.ndarray, heads: np.ndarray) -> dict[str, np.ndarray]:
+    def score(self, tokens: np.ndarray, checks: np.ndarray, heads: np.ndarray) -> dict[str, np.ndarray]:
         """Sums by row of log10 probabilities, and counts."""
         v = self.base[-1]
-        distinct, at = np.unique(tokens, return_inverse=True)
-        count, bucket, place = self.vocabulary.find(distinct)
+        kind, check, at = distinct(tokens, checks)
+        count, bucket, place = self.vocabulary.find(kind, check)
         ids = np.asarray(self.base)[bucket] + place
-        kinds = np.zeros((4, len(distinct)), np.float64)
+        kinds = np.zeros((4, len(kind)), np.float64)
         for b in np.unique(bucket[count > 0]):
             m = (bucket == b) & (count > 0)
             kinds[:, m] = self._stats(int(b))[:, place[m]]
@@ -130,23 +130,20 @@ def train(texts: DataFrame, text: str = "text") -> Model:
 
     def tokens(it):
         for _, buf, offs in batches(it, text):
-            yield token_hashes(buf, offs)[0]
+            yield token_hashes(buf, offs)[:2]
 
     buckets = bucket_count(size, 64 << 20)
-    vocabulary, kept = tally(only, tokens, buckets, "lm-words")
-    sizes = np.zeros(buckets, np.int64)
-    for r in kept:
-        sizes[r.bucket] = r.n
-    base = [0, *np.cumsum(sizes).tolist()]
+    vocabulary, kept = tally(only, tokens, buckets, "lm-words", checked=True)
+    base = [0, *np.cumsum(vocabulary.sizes).tolist()]
     if base[-1] >= (1 << 32) - 1:
         raise ValueError(f"{base[-1]} distinct tokens; ids of 32 bits hold fewer")
     first_of = np.asarray(base)
 
     def ids(it):
         for _, buf, offs in batches(it, text):
-            got, heads = token_hashes(buf, offs)
-            distinct, at = np.unique(got, return_inverse=True)
-            _, bucket, place = vocabulary.find(distinct)
+            *got, heads = token_hashes(buf, offs)
+            kind, check, at = distinct(*got)
+            _, bucket, place = vocabulary.find(kind, check)
             now = (first_of[bucket] + place)[at].astype(np.uint64)
             before = np.r_[np.uint64(0), now[:-1]]
             before[heads[:-1]] = base[-1]
@@ -159,7 +156,7 @@ def train(texts: DataFrame, text: str = "text") -> Model:
     def reduce(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         b = key[0].as_py()
         v, c = gather(table)
-        write_file(f"{uri}/{b}", [v, np.minimum(c, np.uint64(0xFFFFFFFF)).astype(np.uint32)])
+        write_counts(f"{uri}/{b}", [v, c])
         pair = unmix(v)
         h, w = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
         word, back = np.unique(np.r_[h, w], return_inverse=True)
@@ -168,9 +165,9 @@ def train(texts: DataFrame, text: str = "text") -> Model:
         rows = [(i, pack([word[x:y].astype(np.uint64), *(k[x:y].astype(np.uint32) for k in n)])) for i, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
         of = [int((c == i).sum()) for i in (1, 2, 3, 4)]
         none = [0] * (len(rows) - 1)
-        return pa.table({"bucket": pa.array([i for i, _ in rows], pa.int32()), "blob": pa.array([x for _, x in rows], pa.binary()), **{f"n{i + 1}": pa.array([of[i], *none], pa.int64()) for i in range(4)}})
+        return pa.table({"bucket": pa.array([i for i, _ in rows], pa.int32()), "blob": pa.array([x for _, x in rows], pa.binary()), "pairs": pa.array([b] * len(rows), pa.int32()), "held": pa.array([len(v), *none], pa.int64()), **{f"n{i + 1}": pa.array([of[i], *none], pa.int64()) for i in range(4)}})
 
-    sent = materialize(blocks(only, ids, pair_buckets).groupBy("bucket").applyInArrow(reduce, "bucket int, blob binary, n1 bigint, n2 bigint, n3 bigint, n4 bigint"), "lm-sent")
+    sent = materialize(blocks(only, ids, pair_buckets).groupBy("bucket").applyInArrow(reduce, "bucket int, blob binary, pairs int, held bigint, n1 bigint, n2 bigint, n3 bigint, n4 bigint"), "lm-sent")
     stats = new_dir(spark, "lm-stats")
 
     def place(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -187,10 +184,13 @@ def train(texts: DataFrame, text: str = "text") -> Model:
     p = sent.agg(*zero("n1", "n2", "n3", "n4")).first()
     names = ("n1", "n2", "n3", "n4", "kinds", "some")
     w = sent.select("bucket", "blob").groupBy("bucket").applyInArrow(place, ", ".join(f"{x} bigint" for x in names)).agg(*zero(*names)).first()
+    sizes = np.zeros(pair_buckets, np.int64)
+    for r in sent.groupBy("pairs").agg(F.sum("held").alias("n")).collect():
+        sizes[r.pairs] = r.n
     d = discounts([w.n1, w.n2, w.n3, w.n4])
     leftover = (d[1] * w.n1 + d[2] * w.n2 + d[3] * (w.some - w.n1 - w.n2)) / w.kinds if w.kinds else 1.0
-    n_texts = int(vocabulary.find(np.array([END]))[0][0]) if base[-1] else 0
-    return Model(vocabulary, Store(uri, pair_buckets), stats, base, int(sum(r.total for r in kept)), n_texts, discounts([p.n1, p.n2, p.n3, p.n4]).tolist(), d.tolist(), int(w.kinds), float(leftover))
+    n_texts = int(vocabulary.find(np.array([END]), np.array([END_CHECK]))[0][0]) if base[-1] else 0
+    return Model(vocabulary, Store(uri, sizes), stats, base, int(sum(r.total for r in kept)), n_texts, discounts([p.n1, p.n2, p.n3, p.n4]).tolist(), d.tolist(), int(w.kinds), float(leftover))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = True) -> DataFrame:

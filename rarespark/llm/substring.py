@@ -12,7 +12,8 @@ more go on, and the groups that are left are exactly the repeated windows:
 
 Groups are counted, not gathered: tasks send counted blocks of digit hashes (``store``), and read
 the texts again in the next pass. A passage in a third of all documents costs one entry a block.
-Hashes have 64 bits.
+Anchors only part the suffixes, so 64 bits of a quick hash do; runs and suffixes are told apart by
+93 bits of their bytes, the run's shape included.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from rarespark.llm.common import batches, extended
-from rarespark.llm.hashing import Ranges, chain, mix
+from rarespark.llm.hashing import Fields, Ranges, chain, mix
 from rarespark.llm.store import Store, bucket_count, tally, text_bytes
 
 PIECE = 8 << 20
@@ -43,8 +44,8 @@ class Runs:
         self.gram = np.empty(0, np.uint64)
         if n < 1 or not long.any():
             return
-        self.ranges = Ranges(buf)
-        grams = self.ranges.grams(gram)
+        self.fields = Fields(buf)
+        grams = Ranges(buf).grams(gram)
         x = (grams & ~_LOW) | np.arange(len(grams), dtype=np.uint64)
         width, span = depth - gram + 1, 1
         while span * 2 <= width:
@@ -64,16 +65,18 @@ class Runs:
         self.anchor = low[self.first].astype(np.int64)
         self.gram = mix(grams[self.anchor])  # least of many, so near 0: spread again over the buckets
 
-    def whole(self, which: np.ndarray) -> np.ndarray:
-        f = self.first[which]
-        return chain(self.ranges(f, self.last[which] + self.depth), (self.anchor[which] - f).astype(np.uint64))
+    def whole(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        f, e = self.first[which], self.last[which] + self.depth
+        if not len(f):
+            return np.empty(0, np.uint64), np.empty(0, np.uint32)
+        return chain(self.fields(f, e), (self.anchor[which] - f).astype(np.uint64)), self.fields.check(f, e)
 
     def starts(self, which: np.ndarray) -> np.ndarray:
         f, size = self.first[which], self.last[which] - self.first[which] + 1
         return np.repeat(f - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum()) if len(f) else f
 
-    def windows(self, starts: np.ndarray) -> np.ndarray:
-        return self.ranges(starts, starts + self.depth)
+    def windows(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.fields(starts, starts + self.depth), self.fields.check(starts, starts + self.depth)
 
 
 def pieces(buf: np.ndarray, offs: np.ndarray, depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -95,21 +98,21 @@ def repeated_starts(buf: np.ndarray, offs: np.ndarray, depth: int, gram: int, st
         which, same = _sorted_out(runs, stores)
         mixed = runs.starts(which[~same])
         if len(mixed):
-            mixed = mixed[stores[2].counts(runs.windows(mixed)) > 1]
+            mixed = mixed[stores[2].counts(*runs.windows(mixed)) > 1]
         out += [base + runs.starts(which[same]), base + mixed]
     return np.sort(np.concatenate(out)) if out else np.empty(0, np.int64)
 
 
 def _sorted_out(runs: Runs, stores: list[Store]) -> tuple[np.ndarray, np.ndarray]:
     """The runs whose anchor is repeated, and of these which have an anchor all of whose runs are
-    equal. Counts that have reached their limit decide nothing."""
+    equal."""
     if not len(runs.first):
         return np.empty(0, np.int64), np.empty(0, bool)
     seen = stores[0].counts(runs.gram)
     which = np.flatnonzero(seen > 1)
     if not len(which):
         return which, np.empty(0, bool)
-    return which, (stores[1].counts(runs.whole(which)) == seen[which]) & (seen[which] < 0xFFFFFFFF)
+    return which, stores[1].counts(*runs.whole(which)) == seen[which]
 
 
 def sort_suffixes(docs: DataFrame, depth: int = 200, gram: int = 64, text: str = "text") -> list[Store]:
@@ -130,7 +133,7 @@ def sort_suffixes(docs: DataFrame, depth: int = 200, gram: int = 64, text: str =
                 if len(runs.first):
                     yield runs.whole(np.flatnonzero(stores[0].counts(runs.gram) > 1))
 
-    stores.append(tally(only, contents, bucket_count(size, 256 << 20), "suffix-runs", 2)[0])
+    stores.append(tally(only, contents, bucket_count(size, 256 << 20), "suffix-runs", 2, True)[0])
 
     def windows(it):
         for _, buf, offs in batches(it, text):
@@ -141,7 +144,7 @@ def sort_suffixes(docs: DataFrame, depth: int = 200, gram: int = 64, text: str =
                 if len(starts):
                     yield runs.windows(starts)
 
-    stores.append(tally(only, windows, bucket_count(size, 16 << 20), "suffix-windows", 2)[0])
+    stores.append(tally(only, windows, bucket_count(size, 16 << 20), "suffix-windows", 2, True)[0])
     return stores
 
 
