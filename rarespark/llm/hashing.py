@@ -31,7 +31,7 @@ def _powers(name: str, base: int, n: int) -> np.ndarray:
         p = np.full(max(n, 1 << 16), base, np.uint64)
         p[0] = 1
         got = np.multiply.accumulate(p)
-        if len(got) <= 1 << 24:
+        if len(got) <= 1 << 22:
             _POWERS[name] = got
     return got[:n]
 
@@ -76,13 +76,13 @@ def _folded(x: np.ndarray) -> np.ndarray:
 def _field_powers(name: str, base: int, n: int) -> np.ndarray:
     got = _POWERS.get(name)
     if got is None or len(got) < n:
-        got = np.ones(max(n, 1 << 16), np.uint64)
+        got = np.ones(max(n, 1 << 16), np.uint32)
         done = 1
         while done < len(got):
             step = min(done, len(got) - done)
-            got[done : done + step] = got[:step] * np.uint64(pow(base, done, int(_P))) % _P
+            got[done : done + step] = got[:step].astype(np.uint64) * np.uint64(pow(base, done, int(_P))) % _P
             done += step
-        if len(got) <= 1 << 24:
+        if len(got) <= 1 << 22:
             _POWERS[name] = got
     return got[:n]
 

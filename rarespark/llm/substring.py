@@ -29,7 +29,7 @@ from rarespark.llm.common import batches, extended
 from rarespark.llm.hashing import Fields, Ranges, chain, mix
 from rarespark.llm.store import Store, bucket_count, tally, text_bytes
 
-PIECE = 8 << 20
+PIECE, CHUNK = 2 << 20, 1 << 20
 _LOW = np.uint64(0xFFFFFF)
 
 
@@ -120,14 +120,14 @@ def sort_suffixes(docs: DataFrame, depth: int = 200, gram: int = 64, text: str =
     size = text_bytes(only, text)
 
     def anchors(it):
-        for _, buf, offs in batches(it, text):
+        for _, buf, offs in batches(it, text, CHUNK):
             for _, part, at in pieces(buf, offs, depth):
                 yield Runs(part, at, depth, gram).gram
 
     stores = [tally(only, anchors, bucket_count(size, 96 << 20), "suffix-anchors", 2)[0]]
 
     def contents(it):
-        for _, buf, offs in batches(it, text):
+        for _, buf, offs in batches(it, text, CHUNK):
             for _, part, at in pieces(buf, offs, depth):
                 runs = Runs(part, at, depth, gram)
                 if len(runs.first):
@@ -136,7 +136,7 @@ def sort_suffixes(docs: DataFrame, depth: int = 200, gram: int = 64, text: str =
     stores.append(tally(only, contents, bucket_count(size, 256 << 20), "suffix-runs", 2, True)[0])
 
     def windows(it):
-        for _, buf, offs in batches(it, text):
+        for _, buf, offs in batches(it, text, CHUNK):
             for _, part, at in pieces(buf, offs, depth):
                 runs = Runs(part, at, depth, gram)
                 which, same = _sorted_out(runs, stores)
@@ -158,7 +158,7 @@ def spans(starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _each(it, text: str, depth: int, gram: int, stores: list[Store]):
     """For each chunk: its rows, and for each row the bytes and the spans to remove."""
-    for rows, buf, offs in batches(it, text):
+    for rows, buf, offs in batches(it, text, CHUNK):
         starts = repeated_starts(buf, offs, depth, gram, stores)
         cuts = np.searchsorted(starts, offs)
         out = []
