@@ -7,7 +7,7 @@ from rarespark.operators.resampler import Resampler
 from rarespark.operators.series import embed
 from rarespark.operators.summary import imbalance_summary
 from rarespark.plans.evaluate import evaluate
-from rarespark.plans.splits import temporal_windows
+from rarespark.plans.splits import temporal_split, temporal_windows
 from rarespark.sources.series import read_series
 
-__all__ = ["ControlPoints", "Resampler", "control_points", "embed", "evaluate", "evaluate_metrics", "f1_phi", "imbalance_summary", "phi", "precision_phi", "read_series", "recall_phi", "sera", "sera_curve", "temporal_windows"]
+__all__ = ["ControlPoints", "Resampler", "control_points", "embed", "evaluate", "evaluate_metrics", "f1_phi", "imbalance_summary", "phi", "precision_phi", "read_series", "recall_phi", "sera", "sera_curve", "temporal_split", "temporal_windows"]

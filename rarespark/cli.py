@@ -7,32 +7,34 @@ from __future__ import annotations
 
 import argparse
 import sys
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import SparkSession
 
 from rarespark.operators.summary import imbalance_summary
 from rarespark.sources.series import read_manifest, read_series
 
+SIDE_BY_SIDE = 8
 COLUMNS = ["ID", "Dataset", "N", "Granularity", "n_normal", "n_rare", "IR", "%Rare"]
 
 
 def parser() -> argparse.ArgumentParser:
-    p = argparse.ArgumentParser(prog="rarespark", description="Imbalance table of time series.")
-    p.add_argument("csv_path", nargs="?", help="CSV file of one series")
-    p.add_argument("--target", help="column of values")
+    p = argparse.ArgumentParser(prog="rarespark", description="Counts rare and normal cases of one or many series.")
+    p.add_argument("csv_path", nargs="?", help="a series to read")
+    p.add_argument("--target", help="which column holds the series' values")
     p.add_argument("--id", default="DS1")
-    p.add_argument("--name", help="default: the target")
+    p.add_argument("--name", help="shown in the table; the target's name if not given")
     p.add_argument("--granularity", default="")
-    p.add_argument("--date-col", help="column to sort by (not used with --config)")
-    p.add_argument("--config", help="manifest CSV of many series")
+    p.add_argument("--date-col", help="put rows in this column's order first (single series only)")
+    p.add_argument("--config", help="read a list of series from this CSV instead")
     p.add_argument("--threshold", type=float, default=0.9)
-    p.add_argument("--k", type=int, default=10, help="leading values that embedding takes off")
+    p.add_argument("--k", type=int, default=10, help="how many first values no embedded case predicts")
     p.add_argument("--no-embed", action="store_true")
     p.add_argument("--diff", action="store_true")
     p.add_argument("--xtrm-type", default="both")
     p.add_argument("--coef", type=float, default=1.5)
     p.add_argument("--impute", choices=["knn", "drop", "none"], default="knn")
-    p.add_argument("--output", help="also write the table to this CSV file")
+    p.add_argument("--output", help="where to save the table as CSV")
     return p
 
 
@@ -48,15 +50,20 @@ def _row(spark: SparkSession, a: argparse.Namespace, path: str, target: str, dat
 
 def table1(spark: SparkSession, a: argparse.Namespace) -> list[dict]:
     if a.xtrm_type != "both":
-        raise ValueError("--xtrm-type: only 'both' is supported")
+        raise ValueError("--xtrm-type knows just 'both': rare cases are looked for at either end")
     if a.coef != 1.5:
-        raise ValueError("--coef: only 1.5 is supported")
+        raise ValueError("--coef is fixed at 1.5, the length of the whiskers")
     if a.k < 0:
         raise ValueError(f"--k must be >= 0; got {a.k}")
     if bool(a.csv_path) == bool(a.config):
-        raise ValueError("give either a CSV path or --config, not both")
+        raise ValueError("name one source: a CSV path or --config")
     if a.config:
-        return [_row(spark, a, m["path"], m["target"], None, m["id"], m["name"], m.get("granularity") or "", float(m.get("threshold") or a.threshold), int(m.get("k") or a.k)) for m in read_manifest(a.config)]
+
+        def one(m: dict[str, str]) -> dict:
+            return _row(spark, a, m["path"], m["target"], None, m["id"], m["name"], m.get("granularity") or "", float(m.get("threshold") or a.threshold), int(m.get("k") or a.k))
+
+        with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:  # their jobs share the executors
+            return list(pool.map(one, read_manifest(a.config)))
     if not a.target:
         raise ValueError("--target is required with a CSV path")
     return [_row(spark, a, a.csv_path, a.target, a.date_col, a.id, a.name or a.target, a.granularity, a.threshold, a.k)]

@@ -45,11 +45,16 @@ def label_by_value(df: DataFrame, target: str, phi: str, cp: ControlPoints, thre
     unless (under, smote) the nearest other case, that of most relevance, has none."""
     y, rare = F.col(target), _is_rare(F.col(phi), threshold, rule)
     side = F.when(rare & (y < cp.med), 0).when(rare, 3).when(y < cp.med, 1).otherwise(2)
-    got = {r.s: r for r in df.groupBy(side.alias("s")).count().collect()}
+    p = F.col(phi)
+    got = {r.s: r for r in df.groupBy(side.alias("s")).agg(F.min_by(p, y).alias("first"), F.max_by(p, y).alias("last")).collect()}
+    # phi of the least and of the largest value that isn't rare
+    ordinary = [got[s] for s in (1, 2) if s in got]
+    edge = {0: ordinary[0]["first"], 3: ordinary[-1]["last"]} if ordinary else {}
     bump, ids, last = 0, {}, None
     for s in sorted(got):
         crosses = last is not None and (s == 3) != (last == 0)
-        if crosses and (rule == "over" or _edge_phi(df, target, phi, rare, last == 0) > 0):
+        # both sides rare and nothing between them: there is no edge to fall below
+        if crosses and (rule == "over" or edge[0 if last == 0 else 3] > 0):
             bump += 1
         ids[s], last = bump, s
     tree = F.lit(None).cast("int")
@@ -58,12 +63,6 @@ def label_by_value(df: DataFrame, target: str, phi: str, cp: ControlPoints, thre
     return df.withColumn("bump", tree)
 
 
-def _edge_phi(df: DataFrame, target: str, phi: str, rare: Column, low: bool) -> float:
-    """phi of the least (or largest) value that isn't rare."""
-    pick = F.min_by if low else F.max_by
-    return df.where(~rare).agg(pick(phi, target)).first()[0]
-
-
 def label(df: DataFrame, target: str, phi: str, order_by: str, threshold: float, rule: str, cp: ControlPoints | None) -> DataFrame:
     if cp is not None and cp.strict and cp.p_med == 0 and threshold > 0:
         return label_by_value(df, target, phi, cp, threshold, rule)

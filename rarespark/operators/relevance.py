@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rarespark.functions.relevance import ControlPoints, as_control_points, phi
-from rarespark.operators.series import order_statistics
+from rarespark.operators.series import FEW_ROWS, order_statistics, ranked_values, value_counts
 
 WHISKER = 1.5
 
@@ -20,26 +20,39 @@ def hinge_ranks(n: int) -> list[tuple[int, int]]:
     return [(math.floor(d), math.ceil(d)) for d in (depth, (n + 1) / 2, n + 1 - depth)]
 
 
-def tukey_hinges(df: DataFrame, value: str) -> tuple[float, float, float]:
+def _clean(df: DataFrame, value: str, rows: int | None) -> tuple[DataFrame, int]:
     clean = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    n = clean.count()
+    n = clean.count() if rows is None else rows
     if not n:
         raise ValueError("control_points: y has no non-NaN values; expected >= 1.")
+    return clean, n
+
+
+def tukey_hinges(df: DataFrame, value: str, rows: int | None = None) -> tuple[float, float, float]:
+    """Lower hinge, median and upper hinge; ``rows`` is the number of values, if known."""
+    clean, n = _clean(df, value, rows)
     ranks = hinge_ranks(n)
     found = order_statistics(clean, value, [r for pair in ranks for r in pair], n)
     return tuple(0.5 * (found[a] + found[b]) for a, b in ranks)
 
 
-def control_points(df: DataFrame, value: str) -> ControlPoints:
+def control_points(df: DataFrame, value: str, rows: int | None = None) -> ControlPoints:
     """Fit on all non-null, non-NaN values: the outer knots are the whiskers with phi 1, or the
-    extremes with phi 0 on a side without outliers."""
-    q1, med, q3 = tukey_hinges(df, value)
-    lo, hi = q1 - WHISKER * (q3 - q1), q3 + WHISKER * (q3 - q1)
-    y = F.col(value).cast("double")
-    y = F.when(~F.isnan(y), y)
-    r = df.agg(F.min(y).alias("a"), F.max(y).alias("b"), F.min(F.when(y >= lo, y)).alias("lw"), F.max(F.when(y <= hi, y)).alias("uw")).first()
-    low, high = ((r.lw, 1.0) if r.a < r.lw else (r.a, 0.0)), ((r.uw, 1.0) if r.b > r.uw else (r.b, 0.0))
-    return ControlPoints(*low, med, 0.0, *high)
+    extremes with phi 0 on a side without outliers. ``rows`` is the number of values, if known."""
+    clean, n = _clean(df, value, rows)
+    if n <= FEW_ROWS:  # one pass brings the counted values, and all else follows from them
+        held = value_counts(clean, value)
+        ranks = hinge_ranks(n)
+        found = ranked_values(held, [r for pair in ranks for r in pair])
+        q1, med, q3 = (0.5 * (found[a] + found[b]) for a, b in ranks)
+        inside = [v for v, _ in held if q1 - WHISKER * (q3 - q1) <= v <= q3 + WHISKER * (q3 - q1)]
+        least, most, low, high = held[0][0], held[-1][0], inside[0], inside[-1]
+    else:
+        q1, med, q3 = tukey_hinges(df, value, n)
+        lo, hi = q1 - WHISKER * (q3 - q1), q3 + WHISKER * (q3 - q1)
+        y = F.col(value).cast("double")
+        least, most, low, high = clean.agg(F.min(y), F.max(y), F.min(F.when(y >= lo, y)), F.max(F.when(y <= hi, y))).first()
+    return ControlPoints(*((low, 1.0) if least < low else (least, 0.0)), med, 0.0, *((high, 1.0) if most > high else (most, 0.0)))
 
 
 def control_points_by(df: DataFrame, value: str, by: str) -> DataFrame:
@@ -67,7 +80,7 @@ def control_points_by(df: DataFrame, value: str, by: str) -> DataFrame:
 Relevance = str | ControlPoints | list | Column | Callable[[Column], Column]
 
 
-def resolve(relevance: Relevance, df: DataFrame, target: str) -> tuple[Column, ControlPoints | None]:
+def resolve(relevance: Relevance, df: DataFrame, target: str, rows: int | None = None) -> tuple[Column, ControlPoints | None]:
     """phi of ``target``: "auto" fits on it, control points are used as they are, a Column is phi
     per row, a callable makes it of the target. The last two must lie in [0, 1], without NaN."""
     if isinstance(relevance, Column) or callable(relevance):
@@ -79,7 +92,7 @@ def resolve(relevance: Relevance, df: DataFrame, target: str) -> tuple[Column, C
     if isinstance(relevance, str):
         if relevance != "auto":
             raise ValueError(f"relevance: expected 'auto', control points, a column or a callable; got {relevance!r}.")
-        cp = control_points(df, target)
+        cp = control_points(df, target, rows)
     else:
         cp = as_control_points(relevance)
     return phi(target, cp), cp

@@ -1,9 +1,11 @@
-"""``Resampler``: builds the plan of one of the nine strategies; nothing is computed eagerly but
-checks, control points and the bumps' totals."""
+"""``Resampler``: builds the plan of one of the nine strategies. The training frame is written once,
+checked, fitted and labelled; it is written again with its bumps and positions, and all that the
+result is made of reads that table."""
 
 from __future__ import annotations
 
 import copy as copying
+import random
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -11,7 +13,8 @@ from pyspark.sql import functions as F
 
 from rarespark.operators import bumps, counts, draws, synth
 from rarespark.operators.relevance import Relevance, resolve
-from rarespark.operators.series import check
+from rarespark.operators.series import check, position
+from rarespark.sources.shared import written
 
 
 class Resampler:
@@ -24,7 +27,7 @@ class Resampler:
 
     ``fit_resample`` returns the features and target with ``order_by``, ``origin`` (original, copy
     or synthetic) and ``seq`` (its number among rows of one origin and time). Rows sort in time by
-    (order_by, origin = synthetic, seq). Times must be unique.
+    (order_by, origin = synthetic, seq). Times must be unique. Without a ``seed`` every call draws anew.
     """
 
     _names = ("strategy", "bias", "rel_threshold", "relevance", "k", "o", "u", "r_quirks", "seed")
@@ -55,8 +58,8 @@ class Resampler:
             raise ValueError(f"k: expected an integer >= 1; got {self.k!r}.")
         counts.check_percentages(self.strategy, self.o, self.u)
 
-    def labelled(self, df: DataFrame, target: str, order_by: str) -> tuple[DataFrame, list[bumps.Bump]]:
-        phi, cp = resolve(self.relevance, df, target)
+    def labelled(self, df: DataFrame, target: str, order_by: str, rows: int | None = None) -> tuple[DataFrame, list[bumps.Bump]]:
+        phi, cp = resolve(self.relevance, df, target, rows)
         with_phi = df.withColumn("phi", phi)
         got = bumps.label(with_phi, target, "phi", order_by, self.rel_threshold, self.strategy, cp)
         return got, bumps.table(got, "phi", self.rel_threshold, self.strategy)
@@ -64,9 +67,10 @@ class Resampler:
     def fit_resample(self, df: DataFrame, features: list[str], target: str, order_by: str) -> DataFrame:
         self._check()
         base = df.select(order_by, *(F.col(f).cast("double").alias(f) for f in features), F.col(target).cast("double").alias(target))
+        base = written(base, "resample-rows")
         n = check(base, [*features, target], "resample: X and y", least=2)
-        seed = 0 if self.seed is None else self.seed
-        got, found = self.labelled(base, target, order_by)
+        seed = random.SystemRandom().getrandbits(31) if self.seed is None else self.seed
+        got, found = self.labelled(base, target, order_by, n)
         out = [order_by, *features, target]
         as_is = lambda d, origin, seq: d.select(*out, F.lit(origin).alias("origin"), seq.cast("bigint").alias("seq"))
         zero = F.lit(0)
@@ -74,6 +78,9 @@ class Resampler:
             return as_is(base, "original", zero)
         counts.assign(found, n, self.strategy, self.o, self.u)
         rows = draws.ranked(got, found, order_by)
+        if self.strategy == "smote":
+            rows = position(rows, [target, order_by], "by_value", ["bump"], n)
+        got = rows = written(rows, "resample-bumps")
         if self.strategy == "over":
             extra = {b.bump: b.n_out - b.size for b in found}
             drawn = draws.with_replacement(rows, [b for b in found if extra[b.bump]], extra, self.bias, seed, "over")

@@ -7,12 +7,16 @@ the order is cut at quantiles instead, each piece numbered apart, and the pieces
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WINDOW_ROWS = 2_000_000
+FEW_ROWS = 100_000
 PIECE_ROWS = 500_000
+SPAN = 1 << 16  # times a task looks at together where rows meet their neighbours in time
 
 
 def finite(c: Column) -> Column:
@@ -56,20 +60,23 @@ def position(df: DataFrame, order: list[str], out: str, group: list[str] | None
     return numbered.withColumn(out, F.col(out) + F.col("_shift")).drop("_piece", "_shift")
 
 
+def value_counts(df: DataFrame, value: str) -> list[tuple[float, int]]:
+    """The distinct values of a frame of at most ``FEW_ROWS`` rows, in order, and how often each occurs."""
+    got = df.groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n")).collect()
+    return sorted((r.v, r.n) for r in got)
+
+
+def ranked_values(counted: list[tuple[float, int]], ranks: list[int]) -> dict[int, float]:
+    ends = list(accumulate(n for _, n in counted))
+    return {k: counted[bisect_left(ends, k)][0] for k in ranks}
+
+
 def order_statistics(df: DataFrame, value: str, ranks: list[int], rows: int) -> dict[int, float]:
     """The exact values at 1-based ``ranks``, without a global sort: an approximate quantile
     brackets each rank, and only the brackets' distinct values come to the driver."""
     col = F.col(value).cast("double")
-    if rows <= 100_000:
-        held = [(r.v, r.n) for r in df.groupBy(col.alias("v")).agg(F.count("*").alias("n")).collect()]
-        below, brackets = 0, [sorted(held)]
-        found, seen = {}, below
-        for v, n in brackets[0]:
-            for k in ranks:
-                if seen < k <= seen + n:
-                    found[k] = v
-            seen += n
-        return found
+    if rows <= FEW_ROWS:
+        return ranked_values(value_counts(df, value), ranks)
     error = 20_000 / rows
     wanted = sorted(set(ranks))
     probs = [min(1.0, max(0.0, k / rows + s * 2 * error)) for k in wanted for s in (-1, 1)]
@@ -102,10 +109,20 @@ def series_index(df: DataFrame, value: str, order_by: list[str], by: str | None
     return got.select(*([by] if by else []), "t", F.col(value).cast("double").alias("y"))
 
 
+def in_spans(series: DataFrame, back: int, ahead: int, by: str | None, near) -> DataFrame:
+    """``near(rows, window)`` of ``series``, where the window shows each time its ``back``
+    predecessors and ``ahead`` successors. ``t`` counts 0, 1, ... without gaps. It is cut into
+    spans, and rows near a cut go to both sides, so no task sees more than a span and its edges."""
+    t = F.col("t")
+    spans = F.sequence(F.greatest(F.floor((t - ahead) / SPAN), F.lit(0).cast("bigint")), F.floor((t + back) / SPAN))
+    cut = series.withColumn("_span", F.explode(spans))
+    got = near(cut, Window.partitionBy(*([by] if by else []), "_span").orderBy("t"))
+    return got.where(F.floor(t / SPAN) == F.col("_span")).drop("_span")
+
+
 def difference(series: DataFrame, by: str | None = None) -> DataFrame:
     """First differences, of n - 1 values, at times 0 to n - 2."""
-    w = (Window.partitionBy(by) if by else Window).orderBy("t")
-    got = series.withColumn("y", F.col("y") - F.lag("y").over(w)).where("t > 0")
+    got = in_spans(series, 1, 0, by, lambda rows, w: rows.withColumn("y", F.col("y") - F.lag("y").over(w))).where("t > 0")
     return got.withColumn("t", F.col("t") - 1)
 
 
@@ -123,7 +140,10 @@ def embed(series: DataFrame, k: int, horizon: int = 1, exog: list[str] | None =
         n = check(series, ["y"], "embed: series")
         if not by and n < k + horizon + 1:
             raise ValueError(f"embed: series too short: {n} values give no rows with k={k}, horizon={horizon}; need at least {k + horizon + 1}.")
-    w = (Window.partitionBy(by) if by else Window).orderBy("t")
-    lags = [F.col("y").alias("x0"), *(F.lag("y", j).over(w).alias(f"x{j}") for j in range(1, k + 1))]
-    got = series.select(*([by] if by else []), "t", *lags, *(exog or []), F.lead("y", horizon).over(w).alias("_y"))
+
+    def near(rows: DataFrame, w) -> DataFrame:
+        lags = [F.col("y").alias("x0"), *(F.lag("y", j).over(w).alias(f"x{j}") for j in range(1, k + 1))]
+        return rows.select(*([by] if by else []), "t", "_span", *lags, *(exog or []), F.lead("y", horizon).over(w).alias("_y"))
+
+    got = in_spans(series, k, horizon, by, near)
     return got.where((F.col("t") >= k) & F.col("_y").isNotNull()).withColumnRenamed("_y", "y")

@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,36 +28,41 @@ def neighbours(cases: DataFrame, features: list[str], k: int) -> DataFrame:
     left = side.join(F.broadcast(blocks), "bump").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last")))).drop("last")
     right = side.join(F.broadcast(blocks), "bump").withColumn("other", F.col("block")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("last")))).drop("last")
 
-    def best(key, seeds: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        if not len(seeds) or not len(others):
-            return pd.DataFrame({"bump": [], "pos": [], "nn": [], "d": []}).astype({"bump": "int32", "pos": "int64", "nn": "int64", "d": "float64"})
-        others = others.sort_values("pos")
-        a, b = np.stack(seeds["x"].to_numpy()), np.stack(others["x"].to_numpy())
-        pa, pb = seeds["pos"].to_numpy(), others["pos"].to_numpy()
+    names, kinds = ["bump", "pos", "nn", "d"], [pa.int32(), pa.int64(), pa.int64(), pa.float64()]
+
+    def matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        pos = t.column("pos").to_numpy()
+        order = np.argsort(pos, kind="stable")
+        return pos[order], t.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(pos), -1)[order]
+
+    def best(key, seeds: pa.Table, others: pa.Table) -> pa.Table:
+        if not seeds.num_rows or not others.num_rows:
+            return pa.table([pa.array([], t) for t in kinds], names)
+        (pa_, a), (pb, b) = matrix(seeds), matrix(others)
         out = []
-        step = max(1, (1 << 21) // len(b))
+        step = max(1, (1 << 20) // len(b))
+        m = min(k, len(b))
         for i in range(0, len(a), step):
             part = a[i : i + step]
-            d2 = np.zeros((len(part), len(b)))
+            d = np.zeros((len(part), len(b)))
             for c in range(a.shape[1]):
-                gap = part[:, c : c + 1] - b[:, c]
-                d2 += gap * gap
-            d = np.sqrt(d2)
-            d[pa[i : i + step, None] == pb] = np.inf
-            m = min(k, len(b))
+                gap = np.subtract.outer(part[:, c], b[:, c])
+                d += np.square(gap, out=gap)
+            np.sqrt(d, out=d)
+            d[pa_[i : i + step, None] == pb] = np.inf
             limit = np.partition(d, m - 1, axis=1)[:, m - 1]
-            r, c = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
+            r, c = np.nonzero((d <= limit[:, None]) & (d < np.inf))
             v = d[r, c]
             o = np.lexsort((c, v, r))
             r, c, v = r[o], c[o], v[o]
             keep = np.arange(len(r)) - np.searchsorted(r, r) < k
-            out.append(pd.DataFrame({"bump": np.int32(key[0]), "pos": pa[i + r[keep]], "nn": pb[c[keep]], "d": v[keep]}))
-        return pd.concat(out)
+            out.append((np.full(int(keep.sum()), key[0].as_py()), pa_[i + r[keep]], pb[c[keep]], v[keep]))
+        return pa.table([pa.array(np.concatenate(x), t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     # columns of its own, as both sides come from one frame
     right = right.select(*(F.col(c).alias(c) for c in right.columns))
     keys = ["bump", "block", "other"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, "bump int, pos bigint, nn bigint, d double")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best, "bump int, pos bigint, nn bigint, d double")
     w = Window.partitionBy("bump", "pos").orderBy("d", "nn")
     return found.withColumn("nn_rank", F.row_number().over(w)).where(F.col("nn_rank") <= k).select("bump", "pos", "nn", "nn_rank", "d")
 
@@ -96,8 +101,9 @@ def synthesize(labelled: DataFrame, jobs: list[Bump], features: list[str], targe
     """
     rows = sum(b.size for b in jobs)
     held = labelled.where(F.col("bump").isin([b.bump for b in jobs]))
-    by_value = position(held, [target, order_by], "pos", ["bump"], rows)
-    by_time = position(held, [order_by], "pos", ["bump"], rows)
+    known = {"rank", "by_value"} <= set(labelled.columns)
+    by_value = held.withColumn("pos", F.col("by_value")) if known else position(held, [target, order_by], "pos", ["bump"], rows)
+    by_time = held.withColumn("pos", F.col("rank") - 1) if known else position(held, [order_by], "pos", ["bump"], rows)
     search = by_value if bias is None and r_quirks else by_time
     read = by_value if r_quirks else by_time
     near = neighbours(search, features, k)

@@ -13,7 +13,7 @@ from rarespark.functions.rng import uniform_py
 from rarespark.operators.metrics import evaluate_metrics
 from rarespark.operators.relevance import control_points
 from rarespark.operators.resampler import Resampler
-from rarespark.plans.splits import temporal_windows
+from rarespark.plans.splits import temporal_split
 
 SCHEMA = "strategy string, split int, metric string, value double"
 
@@ -75,16 +75,10 @@ def evaluate(df: DataFrame, features: list[str], target: str = "y", time: str =
     in every cell, so equal splits differ. Cells run side by side from ``parallelism`` threads.
     """
     spark = df.sparkSession
-    low = df.agg(F.min(time).alias("a"), F.count("*").alias("n")).first()
     strategies = strategies or default_strategies()
 
     def parts() -> Iterable[tuple[DataFrame, DataFrame]]:
-        if splitter is not None:
-            yield from splitter(df)
-            return
-        for a, b, e in temporal_windows(low.n, n_reps, seed=seed):
-            at = F.col(time) - low.a
-            yield df.where((at >= a) & (at < b)), df.where((at >= b) & (at < e))
+        return splitter(df) if splitter is not None else temporal_split(df, n_reps, seed=seed, time=time)
 
     def cell(i: int, train: DataFrame, test: DataFrame, cp, name: str, strategy: Resampler | None) -> list[tuple]:
         fitted_on = train

@@ -16,6 +16,7 @@ from rarespark.operators.resampler import Resampler
 from rarespark.plans import splits
 from rarespark.plans.evaluate import default_strategies, evaluate
 from rarespark.sources.series import imputed
+from rarespark.sources.shared import written
 
 SEED, FEATURES, THRESHOLD = 42, ["x0", "x1", "x2", "x3"], 0.9
 BIASES = {"b": None, "t": "temporal", "tphi": "temporal+phi"}
@@ -34,7 +35,8 @@ def diff_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.embed(diff_series(spark, sf_dir), 3, checked=False)
+    """The embedded differences, written once: every query below reads them more than once."""
+    return written(series.embed(diff_series(spark, sf_dir), 3, checked=False), "query-frame")
 
 
 def _r(*names: str, places: int = 6):

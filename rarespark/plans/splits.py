@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -23,6 +24,16 @@ def temporal_windows(n: int, n_reps: int = 50, train: float = 0.5, test: float =
         yield a, a + n_train, a + n_train + n_test
 
 
+def temporal_split(df: DataFrame, n_reps: int = 50, train: float = 0.5, test: float = 0.25, seed: int | None = None, time: str = "t") -> Iterator[tuple[DataFrame, DataFrame]]:
+    """The training and the test rows of each split. ``time`` counts rows without gaps, from any
+    start. Without a ``seed`` every call splits anew."""
+    low = df.agg(F.min(time).alias("a"), F.count("*").alias("n")).first()
+    seed = random.SystemRandom().getrandbits(31) if seed is None else seed
+    for a, b, e in temporal_windows(low.n, n_reps, train, test, seed):
+        at = F.col(time) - F.lit(low.a)
+        yield df.where((at >= a) & (at < b)), df.where((at >= b) & (at < e))
+
+
 def split_table(spark, windows: list[tuple[int, int, int]]) -> DataFrame:
     return spark.createDataFrame([(i, *w) for i, w in enumerate(windows)], "split int, a bigint, b bigint, e bigint")
 
