@@ -172,6 +172,73 @@ def _prefs(bias: str | None) -> str:
     return f"WITH {FRAME}, {targets('under')}, {RANKED} SELECT t, bump, rank, round(w / sum(w) OVER (PARTITION BY bump), 9) AS p FROM (SELECT t, bump, rank, {weight(bias)} AS w FROM r)"
 
 
+def _sources() -> dict[str, str]:
+    v = "printf('%.3f', value)"
+    spelled = [v, f"'  ' || {v} || ' '", f"{v} || 'e2'", f"'+' || {v}", f"{v} || 'd'", "'1,234'", "'NA'", "'0x1F'", f"{v} || 'f'", "'.5'"]
+    numbers = {0: f"CAST({v} AS DOUBLE)", 1: f"CAST({v} AS DOUBLE)", 2: f"CAST({v} AS DOUBLE) * 100", 3: f"CAST({v} AS DOUBLE)", 9: "0.5::DOUBLE"}
+    assert len(spelled) == 10
+    day, t = "date_trunc('day', CAST(ts AS TIMESTAMP))", "CAST(ts AS TIMESTAMP)"
+    at = f"CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 5 = 1 THEN date_trunc('second', {t}) WHEN event_id % 5 = 3 THEN date_trunc('minute', {t}) ELSE {day} END"
+    gaps = "g AS (SELECT row_number() OVER (ORDER BY ts, event_id) AS t, value AS y FROM events WHERE event_id % 97 <> 13)"
+    later = "s AS (SELECT t, y FROM (SELECT CAST(row_number() OVER (ORDER BY {order}) - 1 AS BIGINT) AS t, {y} AS y FROM {src}) WHERE t >= {k})"
+    tables = []
+    for ident, name, unit, threshold, spec in (("A", "values", "", "0.9", {"order": "ts, event_id", "y": "value", "src": "events", "k": 0}), ("B", "later values", "s", "0.8", {"order": "ts, event_id", "y": "value", "src": "events", "k": 10}), ("C", "lengths", "", "0.9", {"order": "doc_id", "y": "n_chars::DOUBLE", "src": "documents", "k": 4})):
+        one = summary().replace("0.9", threshold)
+        tables.append(f"SELECT '{ident}' AS id, '{name}' AS dataset, N, '{unit}' AS granularity, n_normal, n_rare, round(IR, 2) AS IR, round(pct_rare, 2) AS pct_rare FROM (WITH {later.format(**spec)}, {control_points()} {one})")
+    return {
+        "strict_numbers": f"SELECT event_id, event_id % 10 = 6 AS missing, round(CASE event_id % 10 {' '.join(f'WHEN {i} THEN {x}' for i, x in numbers.items())} END, 6) AS y FROM events",
+        "date_order": f"SELECT event_id, CAST(row_number() OVER (ORDER BY {at} NULLS LAST, event_id) - 1 AS BIGINT) AS t FROM events",
+        "csv_series": f"WITH {gaps} SELECT CAST(t - 2 AS BIGINT) AS t, round(step, 6) AS y FROM (SELECT t, y - lag(y) OVER (ORDER BY t) AS step FROM g) WHERE t > 1",
+        "csv_manifest": " UNION ALL ".join(tables),
+    }
+
+
+REFUSED = ("embed: k", "embed: horizon", "embed: too short", "embed: missing value", "under with o", "over with u", "over below 1", "negative u", "unknown strategy", "unknown bias", "k of neighbours", "unknown parameter", "two control points", "a slope", "phi above 1", "relevance by name", "metric of a column", "metric of missing values", "sera: step", "imputation by name", "gaps refused", "splits: too long", "splits: empty window", "command line: no source", "command line: coef", "command line: one end", "command line: k")
+
+
+def _forms() -> dict[str, str]:
+    given = "cp AS (SELECT 20.0::DOUBLE AS x_lo, 1.0::DOUBLE AS p_lo, 50.0::DOUBLE AS med, 120.0::DOUBLE AS x_hi, 0.5::DOUBLE AS p_hi)"
+    sizes = []
+    for strategy, o, u in (("under", None, 0.3), ("over", 1.7, None), ("smote", 2.6, 0.45), ("smote", 3.25, None), ("smote", None, 0.2)):
+        still = "0.0" if strategy == "over" else "1.0"
+        c = f"CASE WHEN rare THEN {o if o is not None else still} WHEN normal THEN {u if u is not None else still} ELSE {still} END"
+        if strategy == "over":
+            n = "size + floor(c * size)"
+        else:
+            n = "CASE WHEN size = 1 OR c = 1 THEN size WHEN c < 1 THEN floor(c * size) ELSE size + floor(c - 1) * size + floor(size * (c - 1 - floor(c - 1))) END"
+        lit = lambda x: "NULL::DOUBLE" if x is None else f"{x}::DOUBLE"
+        sizes.append(f"(WITH {FRAME}, {bumps(strategy)} SELECT bump, size, c, CAST({n} AS BIGINT) AS n_out, '{strategy}' AS strategy, {lit(o)} AS o, {lit(u)} AS u FROM (SELECT *, CAST({c} AS DOUBLE) AS c FROM k0))")
+    w = "CASE WHEN bump = (SELECT min(bump) FROM k0) THEN 0.0 ELSE rank::DOUBLE / size * phi END"
+    # every split's own control points: ranks within its training window
+    pick = lambda d: f"(0.5 * (max(CASE WHEN rn = floor({d}) THEN y END) + max(CASE WHEN rn = ceil({d}) THEN y END)))"
+    share = lambda limit: f"(CASE WHEN loss < ({limit}) THEN loss / ({limit}) ELSE 1.0 END)"
+    two = "p_lo > 0 AND p_hi > 0"
+    parting = f"CASE WHEN {two} THEN med WHEN p_lo > 0 THEN (med + x_hi) / 2 ELSE (x_lo + med) / 2 END"
+    low = f"CASE WHEN {two} THEN 2 * abs(med - x_lo) WHEN p_lo > 0 THEN 2 * abs(part_at - x_lo) ELSE 2 * abs(x_hi - part_at) END"
+    high = f"CASE WHEN {two} THEN 2 * abs(x_hi - med) WHEN p_lo > 0 THEN 2 * abs(part_at - x_lo) ELSE 2 * abs(x_hi - part_at) END"
+    near = "CASE WHEN y < part_at THEN CASE WHEN x0 >= y THEN least(low, abs(y - part_at)) ELSE low END ELSE CASE WHEN x0 < y THEN least(high, abs(y - part_at)) ELSE high END END"
+    far = f"CASE WHEN y < part_at THEN CASE WHEN x0 >= y AND p_hi > 0 OR x0 >= y AND NOT p_lo > 0 THEN least(low, abs(y - x_hi)) ELSE low END ELSE CASE WHEN x0 < y AND p_lo > 0 THEN least(high, abs(y - x_lo)) ELSE high END END"
+    sera = "sum((y - x0) * (y - x0) * CASE WHEN m >= 1001 THEN 1.0 ELSE (m - 0.5) / 1000.0 END) / 1000.0"
+    persistence = f"""WITH {DIFF}, {embedded()}, d0 AS (SELECT *, CAST(row_number() OVER (ORDER BY t) - 1 AS BIGINT) AS idx FROM d), {windows('(SELECT count(*) FROM d)')},
+o AS (SELECT split, y, row_number() OVER (PARTITION BY split ORDER BY y) AS rn, count(*) OVER (PARTITION BY split) AS n FROM d0 JOIN w ON idx >= a AND idx < b),
+o2 AS (SELECT *, floor((n + 3) / 2) / 2 AS d1, (n + 1) / 2 AS d2, n + 1 - floor((n + 3) / 2) / 2 AS d3 FROM o),
+h AS (SELECT split, {pick('d1')} AS q1, {pick('d2')} AS med, {pick('d3')} AS q3 FROM o2 GROUP BY split),
+x AS (SELECT o.split, max(med) AS med, min(y) AS a, max(y) AS b, min(CASE WHEN y >= q1 - 1.5 * (q3 - q1) THEN y END) AS lw, max(CASE WHEN y <= q3 + 1.5 * (q3 - q1) THEN y END) AS uw FROM o JOIN h ON o.split = h.split GROUP BY o.split),
+cps AS (SELECT split, CASE WHEN a < lw THEN lw ELSE a END AS x_lo, CASE WHEN a < lw THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS p_lo, med, CASE WHEN b > uw THEN uw ELSE b END AS x_hi, CASE WHEN b > uw THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS p_hi FROM x),
+q AS (SELECT cps.*, d0.x0, d0.y, {parting} AS part_at FROM d0 JOIN w ON idx >= b AND idx < e JOIN cps ON cps.split = w.split),
+r AS (SELECT *, {phi()} AS phi, {phi('x0')} AS phi_hat, abs(x0 - y) AS loss, {low} AS low, {high} AS high FROM q),
+v AS (SELECT *, phi * (1 - {share(near)}) - (0.5 * phi_hat + 0.5 * phi) * {share(far)} AS u, floor(phi * 1000) + 1 + CASE WHEN (floor(phi * 1000) + 1) * 0.001::DOUBLE <= phi THEN 1 ELSE 0 END - CASE WHEN floor(phi * 1000) * 0.001::DOUBLE > phi THEN 1 ELSE 0 END AS m FROM r),
+z AS (SELECT split, {RECALL} AS recall_phi, {PRECISION} AS precision_phi, {sera} AS sera FROM v GROUP BY split)
+SELECT 'baseline' AS strategy, split, metric, round(value, 4) AS value FROM (SELECT split, 'recall_phi' AS metric, recall_phi AS value FROM z UNION ALL SELECT split, 'precision_phi', precision_phi FROM z UNION ALL SELECT split, 'sera', sera FROM z UNION ALL SELECT split, 'f1_phi', 2 * precision_phi * recall_phi / (precision_phi + recall_phi) FROM z)"""
+    return {
+        "phi_given": f"WITH s AS (SELECT event_id AS t, value::DOUBLE AS y FROM events), {given} SELECT t, round({phi()}, 6) AS by_rows, round(y / (abs(y) + 100.0::DOUBLE) * 0.5 + 0.5, 6) AS by_column, CASE WHEN y > 60 THEN 1.0::DOUBLE ELSE 0.25::DOUBLE END AS by_function FROM s, cp",
+        "prefs_no_weight": f"WITH {FRAME}, {targets('under')}, {RANKED} SELECT t, bump, round(CASE WHEN total > 0 THEN w / total ELSE 1.0::DOUBLE / size END, 9) AS p FROM (SELECT *, sum(w) OVER (PARTITION BY bump) AS total FROM (SELECT *, {w} AS w FROM r))",
+        "bump_targets_given": " UNION ALL ".join(sizes),
+        "refusals": " UNION ALL ".join(f"SELECT '{x}' AS \"case\", true AS refused" for x in REFUSED) + " UNION ALL SELECT 'nothing is wrong', false",
+        "evaluate_persistence": persistence,
+    }
+
+
 def sql() -> dict[str, str]:
     tied = "s AS (SELECT event_id AS t, CASE WHEN event_id % 5 = 0 THEN value ELSE 1.0::DOUBLE END AS y FROM events)"
     out = {
@@ -206,6 +273,7 @@ def sql() -> dict[str, str]:
             for i, name, cte in (("E1", "events.value", f"WITH {VALUE}, {control_points()}"), ("E2", "events.value differenced", f"WITH {DIFF}, {control_points()}"), ("D1", "documents.n_chars", f"WITH s AS (SELECT doc_id AS t, n_chars::DOUBLE AS y FROM documents), {control_points()}"))
         ),
     }
+    out |= _sources() | _forms()
     for rule in ("over", "under"):
         out[f"bumps_{rule}"] = f"WITH {FRAME}, {bumps(rule)} SELECT bump, size, round(mean_phi, 6) AS mean_phi, rare, normal FROM k0"
     for strategy in ("under", "over", "smote"):
