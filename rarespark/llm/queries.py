@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rarespark.llm import ann, bpe, decontam, jaccard, langid, lm, quality, sharding, substring, toxicity
+from rarespark.llm import ann, bpe, decontam, jaccard, langid, lm, quality, sharding, sql, substring, toxicity
 from rarespark.llm.common import table
 
 
@@ -55,4 +55,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.oracle_sql()
