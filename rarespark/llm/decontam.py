@@ -268,6 +268,7 @@ def find(docs: DataFrame, benchmark: DataFrame, size: int = 13, text: str = "tex
 
     A phrase is ``size`` consecutive words of an item, or all of a shorter one. Null or wordless
     texts have no words and are clean; items without words match nothing; equal items all count.
+    Texts of any length are one shard at least, never parted; repeated rows are each found.
     Other columns pass; columns named as the new ones are replaced.
     ``keep_text=False`` leaves the text out of the result, and so out of what goes back to the JVM.
     """

@@ -333,8 +333,9 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, size: int = WORDS, text:
     ``n_links`` the number of different shingle sets within the threshold of its own, ``n_copies``
     the number of documents of its set, itself included, ``copy_of`` the smallest id of these.
     Texts without words are alone. Rows whose id is null belong to their set's class like others
-    but name none; a class of such rows only has a null id. Repeated rows count each. Empty input
-    gives no rows.
+    but name none; a class of such rows only has a null id. Repeated rows count each. Texts of any
+    length are read whole. Sets are told apart by 64 bits. Empty input gives no rows; other columns
+    are not read.
     """
     only = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     spark = docs.sparkSession
@@ -368,7 +369,8 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, size: int = WORDS, text:
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(set_key.view(np.int64), pa.int64(), mask=none), pa.array(shared, pa.list_(pa.int64())), pa.array(data, pa.binary())], ["id", "key", "bands", "data"])
 
     seen = materialize(only.mapInArrow(look, f"id {kind}, key bigint, bands array<bigint>, data binary"), "join-seen")
-    buckets = bucket_count(size_, 24 << 20)
+    # a class has its set, of at most some bytes a byte of text, and MinHash values of a fixed size
+    buckets = bucket_count(size_ + 4 * VALUES * seen.where("data is not null").count(), 24 << 20)
     uri = new_dir(spark, "join-classes")
     edges = bounds(buckets)
 

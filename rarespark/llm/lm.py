@@ -197,7 +197,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = T
     """``docs`` with n_tokens, n_known, train_tokens (long), base_score, score and perplexity.
 
     ``score`` is the log10 probability of the text with its end; a null or empty text is its end
-    alone. Other columns pass; columns named as the new ones are replaced.
+    alone. Repeated rows each get the same. Other columns pass; columns named as the new ones are replaced.
     """
     new = ["n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"]
     base = docs.drop(*new)

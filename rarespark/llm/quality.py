@@ -206,7 +206,8 @@ def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> tuple[np
 def classify(docs: DataFrame, text: str = "text", sample: int = SAMPLE, keep_text: bool = True) -> DataFrame:
     """``docs`` with weak_posterior, score (0 to 1, higher is better) and keep (score >= 0.5).
 
-    Null counts as the empty text. A text without words has no vote; it gets the posterior of no
+    Null counts as the empty text; texts of any length are read whole; a score of exactly 0.5 is kept.
+    Repeated rows count each in the votes, once in the scorer's sample. A text without words has no vote; it gets the posterior of no
     votes and the scorer's constant. Empty input gives no rows. Equal texts score alike. Columns
     named as the new ones are replaced.
     """
