@@ -27,18 +27,21 @@ def _apart(docs: DataFrame, apply: Callable[[DataFrame], DataFrame], *names: str
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps."""
+    """Documents that the quality classifier keeps. Null, empty and wordless texts get no vote and
+    are judged by the scorer's constant; repeated rows are judged alike, so all or none stay."""
     return _apart(docs, lambda d: quality.classify(d).where("keep"), "weak_posterior", "score", "keep")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of smallest id, of each class of near duplicates."""
+    """One document, that of smallest id, of each class of near duplicates. Null and wordless texts
+    are in no class and stay; of rows that share id and text one stays, rows without an id all stay."""
     return jaccard.one_of_each(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes that passages repeated in what is left cover. A character that a
-    cut would split goes whole. n_chars follows the text; null texts stay null."""
+    cut would split goes whole. n_chars follows the text; null texts stay null, rows whose whole
+    text goes stay with an empty one, rows that are equal lose all they share."""
 
     def cut(d: DataFrame) -> DataFrame:
         got = substring.remove_repeats(d)
@@ -51,13 +54,15 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by the benchmark."""
+    """Documents that are not contaminated by the benchmark. Null and wordless texts are not; an
+    empty benchmark contaminates nothing; repeated rows stay or go together."""
     bench = table(spark, sf_dir, "benchmark")
     return _apart(docs, lambda d: decontam.find(d, bench).where(~F.col("contaminated")), "n_words", "n_hit", "items", "removed", "contaminated")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens and ids of each document, whose text the ids give back."""
+    """doc_id, lang, source, n_tokens and ids of each document, whose text the ids give back. Null
+    and empty texts have no ids; each repeated row has its own; other columns end here."""
     got = bpe.encode(docs.select("doc_id", "lang", "source", "text"), bpe.default_path())
     return got.select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
