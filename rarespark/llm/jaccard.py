@@ -33,7 +33,6 @@ VALUES = BANDS * ROWS
 TOLERANCE = 1e-6
 BLOCK = 512
 PAIRS = 1 << 14
-HOT = 512
 _LOWER = lower_ascii()
 _WORD = np.ones(256, bool)
 _WORD[[0x20, *range(0x09, 0x0E)]] = False
@@ -297,33 +296,24 @@ def _links(it: Iterator[pa.RecordBatch], classes: Classes, least: list[int], thr
         yield found.batch()
 
 
-def _with_low(rows: DataFrame, low: DataFrame, edges: int) -> DataFrame:
-    """``rows`` (u, v) with ``m`` of ``low`` (u, m, n), n the rows of u among ``edges`` in all. Centres of so
-    many rows that there can be at most ``2 * HOT`` of them are broadcast, so their rows stay where they are."""
-    many = max(64, edges // HOT)
-    hot = F.broadcast(low.where(F.col("n") > many).select("u", F.col("m").alias("hot")))
-    both = rows.join(hot, "u", "left")
-    rest = both.where("hot is null").drop("hot").join(low.select("u", "m"), "u")
-    return rest.select("u", "v", "m").unionByName(both.where("hot is not null").select("u", "v", F.col("hot").alias("m")))
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(key, root): the smallest key of each connected component; edges (key, root), by
-    alternating large and small stars, each a minimum and a join."""
+    alternating large and small stars, each a minimum and a join. A centre of very many edges is
+    one row on the joins' other side, so Spark may split its rows over tasks (adaptive skew joins)."""
     e = materialize(edges.select(F.greatest("key", "root").alias("u"), F.least("key", "root").alias("v")).where("u <> v").distinct(), "join-edges")
-    before, n = None, e.count()
+    before = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
-        large = _with_low(both.where("v > u"), low, n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = _with_low(large, low, n).select("v", "m", "u")
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select("v", "m", "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         e = materialize(small, "join-edges")
         now = e.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("s")).first()
         if now == before:
             return e.select(F.col("u").alias("key"), F.col("v").alias("root"))
-        before, n = now, now.n
+        before = now
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, size: int = WORDS, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -23,6 +23,7 @@ from rarespark.llm.hashing import Ranges
 
 SAMPLE = 6_000
 FEATURES = 1_024
+CHUNK = 1 << 18  # of bytes whose features are held at once
 _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _UPPER = np.isin(np.arange(256), range(65, 91))
 _LETTER = _UPPER | np.isin(np.arange(256), range(97, 123)) | (np.arange(256) >= 128)
@@ -179,7 +180,7 @@ def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> tuple[np
     """The scorer's weights (None without documents) and the posterior by vote pattern."""
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, buf, offs in batches(it, text):
+        for _, buf, offs in batches(it, text, 1 << 20):
             k, n = np.unique(patterns(votes(measures(buf, offs))), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(n, pa.int64())], ["k", "n"])
 
@@ -191,7 +192,7 @@ def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> tuple[np
         return None, post
 
     def look(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, buf, offs in batches(it, text, 1 << 20):
+        for _, buf, offs in batches(it, text, CHUNK):
             v = votes(measures(buf, offs))
             y = [post[k] for k in patterns(v).tolist()]
             x = [f.tobytes() for f in features(buf, offs, v).astype(np.float16)]
@@ -216,7 +217,7 @@ def classify(docs: DataFrame, text: str = "text", sample: int = SAMPLE, keep_tex
     base = docs.drop(*names)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, buf, offs in batches(it, text, 1 << 20):
+        for rows, buf, offs in batches(it, text, CHUNK):
             v = votes(measures(buf, offs))
             p = [post[k] for k in patterns(v).tolist()]
             z = features(buf, offs, v) @ w[:-1].astype(np.float32) + w[-1]
