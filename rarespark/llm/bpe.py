@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 
 from rarespark.llm.common import extended, sub_batches
 
-CACHE_PIECES = 400_000
+CACHE_PIECES = 150_000
 ROUNDS = 48
 _NONE = np.int64(1) << 62
 

@@ -8,6 +8,7 @@ so a task that runs twice (or on two executors) leaves the same file.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
@@ -21,7 +22,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -150,12 +151,24 @@ def chunks(offs: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         i = j
 
 
+def release() -> None:
+    """Give memory that arrays no longer use back to the system; workers live on between tasks, and
+    what each keeps adds up over the stages of a job."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library has no such call
+        pass
+
+
 def batches(it, text: str = "text", most: int = CHUNK_BYTES):
     """For each chunk of rows of each Arrow batch: the rows, their bytes and offsets."""
     for batch in it:
         buf, offs = text_view(batch.column(batch.schema.get_field_index(text)))
         for i, j in chunks(offs, most):
             yield batch.slice(i, j - i), buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+        del batch, buf
+        release()
 
 
 def sub_batches(it, text: str = "text", most: int = CHUNK_BYTES):

@@ -31,7 +31,7 @@ def _powers(name: str, base: int, n: int) -> np.ndarray:
         p = np.full(max(n, 1 << 16), base, np.uint64)
         p[0] = 1
         got = np.multiply.accumulate(p)
-        if len(got) <= 1 << 22:
+        if len(got) <= 1 << 21:
             _POWERS[name] = got
     return got[:n]
 
@@ -82,7 +82,7 @@ def _field_powers(name: str, base: int, n: int) -> np.ndarray:
             step = min(done, len(got) - done)
             got[done : done + step] = got[:step].astype(np.uint64) * np.uint64(pow(base, done, int(_P))) % _P
             done += step
-        if len(got) <= 1 << 22:
+        if len(got) <= 1 << 21:
             _POWERS[name] = got
     return got[:n]
 
