@@ -69,11 +69,15 @@ def label(df: DataFrame, target: str, phi: str, order_by: str, threshold: float,
     return label_by_window(df, target, phi, order_by, threshold, rule)
 
 
-def table(labelled: DataFrame, phi: str, threshold: float, rule: str) -> list[Bump]:
-    """The bumps, in value order; [] with a warning without a rare or without a normal one. A mean
-    of exactly the threshold makes a bump of under and smote neither."""
+def measured(labelled: DataFrame, phi: str, threshold: float, rule: str) -> list[Bump]:
+    """All bumps, in value order. A mean of exactly the threshold makes a bump of under and smote neither."""
     rows = labelled.groupBy("bump").agg(F.count("*").alias("n"), F.avg(phi).alias("m"), F.sum(F.when(F.col(phi) > 0, 1).otherwise(0)).alias("p")).orderBy("bump").collect()
-    found = [Bump(r.bump, r.n, r.m, r.m >= threshold if rule == "over" else r.m > threshold, r.m < threshold, r.p) for r in rows]
+    return [Bump(r.bump, r.n, r.m, r.m >= threshold if rule == "over" else r.m > threshold, r.m < threshold, r.p) for r in rows]
+
+
+def table(labelled: DataFrame, phi: str, threshold: float, rule: str) -> list[Bump]:
+    """The bumps; [] with a warning without a rare or without a normal one."""
+    found = measured(labelled, phi, threshold, rule)
     missing = [kind for kind in ("rare", "normal") if not any(getattr(b, kind) for b in found)]
     if missing:
         warnings.warn(f"bumps: no {' and no '.join(missing)} bump at t_R={threshold}; nothing to resample, the input is returned unchanged.", UserWarning, stacklevel=3)

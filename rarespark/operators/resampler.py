@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import copy as copying
 import random
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -58,11 +59,12 @@ class Resampler:
             raise ValueError(f"k: expected an integer >= 1; got {self.k!r}.")
         counts.check_percentages(self.strategy, self.o, self.u)
 
-    def labelled(self, df: DataFrame, target: str, order_by: str, rows: int | None = None) -> tuple[DataFrame, list[bumps.Bump]]:
+    def labelled(self, df: DataFrame, target: str, order_by: str, rows: int | None = None, listed: Callable[..., list[bumps.Bump]] = bumps.table) -> tuple[DataFrame, list[bumps.Bump]]:
+        """Rows with phi and bump, and the bumps; with ``bumps.measured`` also where there is nothing to balance."""
         phi, cp = resolve(self.relevance, df, target, rows)
         with_phi = df.withColumn("phi", phi)
         got = bumps.label(with_phi, target, "phi", order_by, self.rel_threshold, self.strategy, cp)
-        return got, bumps.table(got, "phi", self.rel_threshold, self.strategy)
+        return got, listed(got, "phi", self.rel_threshold, self.strategy)
 
     def fit_resample(self, df: DataFrame, features: list[str], target: str, order_by: str) -> DataFrame:
         self._check()

@@ -37,27 +37,42 @@ def check(df: DataFrame, columns: list[str], what: str, least: int = 1) -> int:
 
 def position(df: DataFrame, order: list[str], out: str, group: list[str] | None = None, rows: int | None = None) -> DataFrame:
     """Add ``out``: 0, 1, ... in ``order``, within each of the few ``group`` values. The first
-    order column is numeric or a time when the input is large."""
+    two order columns are numeric or times when the input is large."""
     group = group or []
     if rows is None or rows <= WINDOW_ROWS:
         w = (Window.partitionBy(*group) if group else Window).orderBy(*order)
         return df.withColumn(out, F.row_number().over(w).cast("long") - 1)
-    at = F.col(order[0]).cast("timestamp").cast("double") if "timestamp" in dict(df.dtypes)[order[0]] else F.col(order[0]).cast("double")
     pieces = -(-rows // PIECE_ROWS)
-    cuts = sorted(set(df.select(at.alias("v")).approxQuantile("v", [i / pieces for i in range(1, pieces)], 0.1 / pieces)))
-    piece = F.array_size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= at))
-    cut = df.withColumn("_piece", piece)
-    before: dict[tuple, int] = {}
-    shifts = []
-    for r in sorted(cut.groupBy(*group, "_piece").count().collect(), key=lambda r: r["_piece"]):
-        g = tuple(r[c] for c in group)
-        shifts.append((*g, r["_piece"], before.get(g, 0)))
-        before[g] = before.get(g, 0) + r["count"]
-    schema = ", ".join([*(f"`{c}` {dict(df.dtypes)[c]}" for c in group), "_piece int, _shift bigint"])
-    shift = df.sparkSession.createDataFrame(shifts, schema)
+    at = [_number(df, c) for c in order[:2]]
+    keys = df.select(*(c.alias(f"v{i}") for i, c in enumerate(at)))
+    every = [i / pieces for i in range(1, pieces)]
+    quantiles = keys.approxQuantile("v0", every, 0.1 / pieces)
+    cuts = {(v, -math.inf) for v in quantiles}
+    # a value that fills pieces of its own is cut by the second column
+    for v in sorted({v for v in quantiles if quantiles.count(v) > 1}) if len(at) > 1 else ():
+        n = quantiles.count(v) + 1
+        cuts |= {(v, w) for w in keys.where(F.col("v0") == v).approxQuantile("v1", [i / n for i in range(1, n)], 0.1 / n)}
+    here = F.struct(at[0].alias("v"), (at[1] if len(at) > 1 else F.lit(0.0)).alias("w"))
+    edges = F.array(*(F.struct(F.lit(float(v)).alias("v"), F.lit(float(w)).alias("w")) for v, w in sorted(cuts)))
+    cut = df.withColumn("_piece", F.array_size(F.filter(edges, lambda c: c <= here)))
+    sizes: dict[tuple, list[int]] = {}
+    for r in cut.groupBy(*group, "_piece").count().collect():
+        sizes.setdefault(tuple(r[c] for c in group), [0] * (len(cuts) + 1))[r["_piece"]] = r["count"]
+    # counts are looked up, not joined: a join by ``_piece`` lets Spark derive a filter of its side from the other's columns
+    shift = F.lit(0)
+    for g, held in sizes.items():
+        before = F.element_at(F.array(*(F.lit(n).cast("bigint") for n in accumulate(held[:-1], initial=0))), F.col("_piece") + 1)
+        same = F.lit(True)
+        for c, v in zip(group, g, strict=True):
+            same = same & F.col(c).eqNullSafe(F.lit(v))
+        shift = F.when(same, before).otherwise(shift)
     w = Window.partitionBy(*group, "_piece").orderBy(*order)
-    numbered = cut.withColumn(out, F.row_number().over(w).cast("long") - 1).join(F.broadcast(shift), [*group, "_piece"])
-    return numbered.withColumn(out, F.col(out) + F.col("_shift")).drop("_piece", "_shift")
+    return cut.withColumn(out, F.row_number().over(w).cast("long") - 1 + shift).drop("_piece")
+
+
+def _number(df: DataFrame, name: str) -> Column:
+    """A numeric column or one of times as a double in the same order."""
+    return F.col(name).cast("timestamp").cast("double") if "timestamp" in dict(df.dtypes)[name] else F.col(name).cast("double")
 
 
 def value_counts(df: DataFrame, value: str) -> list[tuple[float, int]]:

@@ -121,9 +121,9 @@ def impute_knn(spark, sf_dir):
     return imputed(_gaps(spark, sf_dir), "knn").select("t", *_r("y"))
 
 
-def _labelled(spark, sf_dir, strategy: str) -> tuple[DataFrame, list[bumps.Bump], int]:
-    d = frame(spark, sf_dir)
-    got, found = Resampler(strategy).labelled(d, "y", "t")
+def _labelled(spark, sf_dir, strategy: str, d: DataFrame | None = None) -> tuple[DataFrame, list[bumps.Bump], int]:
+    d = d or frame(spark, sf_dir)
+    got, found = Resampler(strategy).labelled(d, "y", "t", listed=bumps.measured)
     n = sum(b.size for b in found)
     return got, counts.assign(found, n, strategy), n
 
@@ -333,9 +333,9 @@ def prefs_no_weight(spark, sf_dir):
 
 def bump_targets_given(spark, sf_dir):
     """Sizes by given percentages: each of the strategies with the ones it takes."""
-    rows = None
+    rows, d = None, frame(spark, sf_dir)
     for strategy, o, u in (("under", None, 0.3), ("over", 1.7, None), ("smote", 2.6, 0.45), ("smote", 3.25, None), ("smote", None, 0.2)):
-        got, found, n = _labelled(spark, sf_dir, strategy)
+        got, found, n = _labelled(spark, sf_dir, strategy, d)
         one = _bump_rows(spark, counts.assign(found, n, strategy, o, u), "bump", "size", "c", "n_out").withColumns({"strategy": F.lit(strategy), "o": F.lit(o).cast("double"), "u": F.lit(u).cast("double")})
         rows = one if rows is None else rows.unionByName(one)
     return rows
