@@ -1,7 +1,9 @@
 """Synthetic cases: exact nearest neighbours within a bump, and interpolation towards one.
 
-The neighbour search compares blocks of seeds with blocks of candidates, each pair of blocks a
-task of its own that returns every seed's best; no matrix is collected or broadcast.
+The neighbour search looks at each different vector once, with the least positions that hold it.
+A bump's vectors are cut into cells of about ``BLOCK``; each is searched in its own cell, and then in
+the other cells whose box is no farther than the last neighbour found. A sample decides only where
+cells are cut. No vectors beside the sample come to the driver.
 """
 
 from __future__ import annotations
@@ -16,55 +18,178 @@ from pyspark.sql import functions as F
 from rarespark.functions.rng import uniform
 from rarespark.operators.bumps import Bump
 from rarespark.operators.series import position
+from rarespark.sources.shared import written
 
-BLOCK = 2_048
+BLOCK, LEAF, SAMPLE = 65_536, 128, 100_000
+
+
+def kd_order(x: np.ndarray, leaf: int) -> list[np.ndarray]:
+    """Rows of ``x`` in groups of at most ``leaf`` that lie near each other."""
+    out, rest = [], [np.arange(len(x))]
+    while rest:
+        rows = rest.pop()
+        if len(rows) <= leaf:
+            out.append(rows)
+            continue
+        held = x[rows]
+        rows = rows[np.argpartition(held[:, np.argmax(np.ptp(held, axis=0))], len(rows) // 2)]
+        rest += [rows[len(rows) // 2 :], rows[: len(rows) // 2]]
+    return out
+
+
+def gap_to(lo: np.ndarray, hi: np.ndarray, los: np.ndarray, his: np.ndarray) -> np.ndarray:
+    """What the distance of any of a box to any of each of the others is at least; rounding keeps the order."""
+    gap = np.maximum(np.maximum(los - hi, lo - his), 0.0)
+    return distance(list(gap.T))
+
+
+def distance(gaps: list[np.ndarray]) -> np.ndarray:
+    """The root of the sum of squares, added in order, as the SQL does."""
+    total = np.square(gaps[0])
+    for g in gaps[1:]:
+        total += np.square(g)
+    return np.sqrt(total, out=total)
+
+
+def nearest(seeds: np.ndarray, within: np.ndarray, x: np.ndarray, pos: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distances and positions of the ``k`` rows of ``x`` nearest to each seed and no farther than
+    ``within``, ties to the smaller position; inf and -1 where there are fewer."""
+    best, at = np.full((len(seeds), k), np.inf), np.full((len(seeds), k), -1)
+    groups = kd_order(x, LEAF)
+    los, his = (np.array([f(x[g], axis=0) for g in groups]) for f in (np.min, np.max))
+    for own in kd_order(seeds, LEAF):
+        part = seeds[own]
+        far = gap_to(part.min(axis=0), part.max(axis=0), los, his)
+        order, done, step = np.argsort(far, kind="stable"), 0, 2
+        top, who = best[own], at[own]
+        while done < len(order) and far[order[done]] <= (limit := np.minimum(top[:, -1], within[own]).max()):
+            near = order[done : done + step]
+            done, step = done + len(near), min(2 * step, 32)
+            rows = np.concatenate([groups[g] for g in near[far[near] <= limit]])
+            d = distance([np.subtract.outer(part[:, c], x[rows, c]) for c in range(x.shape[1])])
+            d = np.concatenate([top, d], axis=1)
+            p = np.concatenate([who, np.broadcast_to(pos[rows], (len(part), len(rows)))], axis=1)
+            cut = np.minimum(np.partition(d, k - 1, axis=1)[:, k - 1], within[own])
+            r, c = np.nonzero((d <= cut[:, None]) & (d < np.inf))
+            v, w = d[r, c], p[r, c]
+            o = np.lexsort((w, v, r))
+            r, v, w = r[o], v[o], w[o]
+            place = np.arange(len(r)) - np.searchsorted(r, r)
+            keep = place < k
+            top, who = np.full(top.shape, np.inf), np.full(who.shape, -1)
+            top[r[keep], place[keep]], who[r[keep], place[keep]] = v[keep], w[keep]
+        best[own], at[own] = top, who
+    return best, at
+
+
+def cells(x: np.ndarray, n: int) -> list:
+    """A tree of cuts (column, value, left, right) that parts the sample ``x`` of ``n`` vectors; a leaf is []."""
+    wide = np.ptp(x, axis=0) if len(x) else np.zeros(1)
+    if n <= BLOCK or not wide.max() > 0:
+        return []
+    c = int(np.argmax(wide))
+    v = np.median(x[:, c])
+    v = float(v if v < x[:, c].max() else x[x[:, c] < v, c].max())
+    left = x[:, c] <= v
+    share = left.mean()
+    return [c, v, cells(x[left], round(n * share)), cells(x[~left], round(n * (1 - share)))]
+
+
+def cell_of(tree: list, x: np.ndarray) -> np.ndarray:
+    out, count, rest = np.zeros(len(x), np.int32), 0, [(tree, np.arange(len(x)))]
+    while rest:
+        node, rows = rest.pop()
+        if not node:
+            out[rows], count = count, count + 1
+            continue
+        left = x[rows, node[0]] <= node[1]
+        rest += [(node[3], rows[~left]), (node[2], rows[left])]
+    return out
+
+
+def _matrix(t: pa.Table | pa.RecordBatch, name: str = "x") -> np.ndarray:
+    col = t.column(name)
+    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    return col.flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+
+
+def _lists(best: np.ndarray, at: np.ndarray) -> pa.Array:
+    there = best < np.inf
+    ends = np.r_[0, np.cumsum(there.sum(axis=1))].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(best[there]), pa.array(at[there])], ["d", "nn"]))
 
 
 def neighbours(cases: DataFrame, features: list[str], k: int) -> DataFrame:
-    """(bump, pos, nn, nn_rank): the ``k`` nearest other cases of each, by Euclidean distance on
+    """(bump, pos, nn, nn_rank, d): the ``k`` nearest other cases of each, by Euclidean distance on
     unscaled features, ties to the smaller position; fewer where a bump is smaller."""
-    side = cases.select("bump", "pos", F.array(*(F.col(f).cast("double") for f in features)).alias("x")).withColumn("block", F.floor(F.col("pos") / BLOCK).cast("int"))
-    blocks = side.groupBy("bump").agg(F.max("block").alias("last"))
-    left = side.join(F.broadcast(blocks), "bump").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last")))).drop("last")
-    right = side.join(F.broadcast(blocks), "bump").withColumn("other", F.col("block")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("last")))).drop("last")
-
-    names, kinds = ["bump", "pos", "nn", "d"], [pa.int32(), pa.int64(), pa.int64(), pa.float64()]
-
-    def matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        pos = t.column("pos").to_numpy()
-        order = np.argsort(pos, kind="stable")
-        return pos[order], t.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(pos), -1)[order]
-
-    def best(key, seeds: pa.Table, others: pa.Table) -> pa.Table:
-        if not seeds.num_rows or not others.num_rows:
-            return pa.table([pa.array([], t) for t in kinds], names)
-        (pa_, a), (pb, b) = matrix(seeds), matrix(others)
-        out = []
-        step = max(1, (1 << 20) // len(b))
-        m = min(k, len(b))
-        for i in range(0, len(a), step):
-            part = a[i : i + step]
-            d = np.zeros((len(part), len(b)))
-            for c in range(a.shape[1]):
-                gap = np.subtract.outer(part[:, c], b[:, c])
-                d += np.square(gap, out=gap)
-            np.sqrt(d, out=d)
-            d[pa_[i : i + step, None] == pb] = np.inf
-            limit = np.partition(d, m - 1, axis=1)[:, m - 1]
-            r, c = np.nonzero((d <= limit[:, None]) & (d < np.inf))
-            v = d[r, c]
-            o = np.lexsort((c, v, r))
-            r, c, v = r[o], c[o], v[o]
-            keep = np.arange(len(r)) - np.searchsorted(r, r) < k
-            out.append((np.full(int(keep.sum()), key[0].as_py()), pa_[i + r[keep]], pb[c[keep]], v[keep]))
-        return pa.table([pa.array(np.concatenate(x), t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
-
-    # columns of its own, as both sides come from one frame
-    right = right.select(*(F.col(c).alias(c) for c in right.columns))
-    keys = ["bump", "block", "other"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best, "bump int, pos bigint, nn bigint, d double")
-    w = Window.partitionBy("bump", "pos").orderBy("d", "nn")
-    return found.withColumn("nn_rank", F.row_number().over(w)).where(F.col("nn_rank") <= k).select("bump", "pos", "nn", "nn_rank", "d")
+    # 0.0 + x: -0.0 and 0.0 are one vector. k + 1 positions of a vector do for all that hold it.
+    side = cases.select("bump", "pos", F.array(*(F.lit(0.0) + F.col(f).cast("double") for f in features)).alias("x"))
+    w = Window.partitionBy("bump", "x").orderBy("pos")
+    some = side.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k + 1)
+    points = written(some.groupBy("bump", "x").agg(F.sort_array(F.collect_list("pos")).alias("held")), "neighbours-vectors")
+    sizes = {r["bump"]: r["count"] for r in points.groupBy("bump").count().collect()}
+    trees = {}
+    for b, n in sizes.items():
+        held = [r.x for r in points.where(F.col("bump") == b).sample(min(1.0, SAMPLE / n), seed=1).select("x").limit(2 * SAMPLE).collect()] if n > BLOCK else []
+        trees[b] = cells(np.array(held).reshape(-1, len(features)), n)
+    kinds = "bump int, cell int, x array<double>, held array<bigint>"
+
+    def placed(batches):
+        for t in batches:
+            bump, x = t.column("bump").to_numpy(), _matrix(t)
+            cell = np.zeros(len(bump), np.int32)
+            for b in np.unique(bump):
+                cell[bump == b] = cell_of(trees[int(b)], x[bump == b])
+            yield pa.RecordBatch.from_arrays([t.column("bump"), pa.array(cell), t.column("x"), t.column("held")], ["bump", "cell", "x", "held"])
+
+    points = points.mapInArrow(placed, kinds)
+    best_kind = "best array<struct<d:double,nn:bigint>>"
+
+    def rows_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        held = t.column("held").combine_chunks()
+        return np.repeat(_matrix(t), np.diff(held.offsets.to_numpy()), axis=0), held.flatten().to_numpy()
+
+    def own(t: pa.Table) -> pa.Table:
+        seeds = _matrix(t)
+        best, at = nearest(seeds, np.full(len(seeds), np.inf), *rows_of(t), k + 1)
+        return pa.table([t.column("bump"), t.column("cell"), t.column("x"), pa.array(best[:, -1]), _lists(best, at)], ["bump", "cell", "x", "far", "best"])
+
+    found = points.groupBy("bump", "cell").applyInArrow(own, f"bump int, cell int, x array<double>, far double, {best_kind}")
+    if any(trees.values()):
+        found = written(found, "neighbours-own")
+        boxes: dict[int, list] = {}
+        axes = [f(F.col("x")[i]).alias(f"{n}{i}") for i in range(len(features)) for n, f in (("lo", F.min), ("hi", F.max))]
+        for r in found.groupBy("bump", "cell").agg(*axes).collect():
+            boxes.setdefault(r["bump"], []).append((r["cell"], [r[f"lo{i}"] for i in range(len(features))], [r[f"hi{i}"] for i in range(len(features))]))
+        boxes = {b: tuple(map(np.array, zip(*sorted(v), strict=True))) for b, v in boxes.items()}
+
+        def visits(batches):
+            for t in batches:
+                bump, cell, far, x = (t.column("bump").to_numpy(), t.column("cell").to_numpy(), t.column("far").to_numpy(), _matrix(t))
+                rows, other = [], []
+                for b in np.unique(bump):
+                    own_rows = np.flatnonzero(bump == b)
+                    for c, lo, hi in zip(*boxes[int(b)], strict=True):
+                        at = own_rows[cell[own_rows] != c]
+                        at = at[gap_to(lo, hi, x[at], x[at]) <= far[at]]
+                        rows.append(at)
+                        other.append(np.full(len(at), c, np.int32))
+                rows = np.concatenate(rows)
+                yield pa.RecordBatch.from_arrays([t.column("bump").take(pa.array(rows)), pa.array(np.concatenate(other)), t.column("x").take(pa.array(rows)), pa.array(far[rows])], ["bump", "cell", "x", "far"])
+
+        def there(seeds: pa.Table, t: pa.Table) -> pa.Table:
+            if not seeds.num_rows or not t.num_rows:
+                return pa.table([pa.array([], pa.int32()), pa.array([], pa.list_(pa.float64())), _lists(np.zeros((0, 1)), np.zeros((0, 1), np.int64))], ["bump", "x", "best"])
+            got = _lists(*nearest(_matrix(seeds), seeds.column("far").to_numpy(), *rows_of(t), k + 1))
+            return pa.table([seeds.column("bump"), seeds.column("x"), got], ["bump", "x", "best"])
+
+        asked = found.select("bump", "cell", "x", "far").mapInArrow(visits, "bump int, cell int, x array<double>, far double")
+        more = asked.groupBy("bump", "cell").cogroup(points.groupBy("bump", "cell")).applyInArrow(there, f"bump int, x array<double>, {best_kind}")
+        both = found.select("bump", "x", "best").unionByName(more)
+        found = both.groupBy("bump", "x").agg(F.slice(F.sort_array(F.flatten(F.collect_list("best"))), 1, k + 1).alias("best"))
+    near = F.slice(F.filter("best", lambda e: e["nn"] != F.col("pos")), 1, k)
+    got = side.join(found.select("bump", "x", "best"), ["bump", "x"]).select("bump", "pos", F.posexplode(near).alias("_i", "_e"))
+    return got.select("bump", "pos", F.col("_e.nn").alias("nn"), (F.col("_i") + 1).alias("nn_rank"), F.col("_e.d").alias("d"))
 
 
 def neighbours_sql(cases: DataFrame, features: list[str], k: int) -> DataFrame:

@@ -1,9 +1,10 @@
 """What large tables bring: orders cut in pieces, and tables of many equal rows."""
 
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
-from rarespark.operators import series
+from rarespark.operators import series, synth
 
 
 @pytest.fixture(scope="module")
@@ -60,3 +61,29 @@ def test_a_hot_value_is_cut_by_the_second_column(spark, monkeypatch):
 def test_bumps_where_none_is_normal(spark, repeated, monkeypatch, name):
     cut_in_pieces(monkeypatch)
     assert same_as_sql(spark, repeated, name)
+
+
+@pytest.mark.parametrize("block", [65_536, 40])
+def test_neighbours_among_many_equal_vectors(spark, monkeypatch, block):
+    monkeypatch.setattr(synth, "BLOCK", block)
+    monkeypatch.setattr(synth, "LEAF", 8)
+    rng = np.random.default_rng(3)
+    rows = [(b, i, 0.0 if i % 3 else float(rng.integers(0, 40)) / 7, -0.0 if i % 5 else float(rng.normal())) for b in (0, 4) for i in range(400 + b)] + [(9, 0, 1.0, 1.0), (9, 1, 2.0, 1.0)]
+    df = spark.createDataFrame(rows, "bump int, pos bigint, x0 double, x1 double")
+    plain = lambda d: sorted(map(tuple, d.select("bump", "pos", "nn", "nn_rank", "d").collect()))
+    assert plain(synth.neighbours(df, ["x0", "x1"], 5)) == plain(synth.neighbours_sql(df, ["x0", "x1"], 5))
+
+
+def test_a_vector_is_searched_once(spark, monkeypatch):
+    """Copies and far cells cost no pairs: the seeds and candidates of a search are few."""
+    df = spark.range(30_000).selectExpr("0 AS bump", "id AS pos", "CAST(id % 100 AS DOUBLE) AS x0", "0D AS x1")
+    got = synth.neighbours(df, ["x0", "x1"], 5)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroups" not in plan
+    assert got.where("d > 0").count() == 0 and got.count() == 150_000
+
+
+@pytest.mark.parametrize("name", ["knn_neighbours", "smote_b", "smote_t", "smote_tphi", "smote_tphi_no_quirks", "synthetic_cases"])
+def test_synthesis_of_repeated_rows(spark, repeated, monkeypatch, name):
+    cut_in_pieces(monkeypatch)
+    same_as_sql(spark, repeated, name)
