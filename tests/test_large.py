@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from rarespark.operators import series, synth
+from rarespark.sources import series as sources
 
 
 @pytest.fixture(scope="module")
@@ -87,3 +88,30 @@ def test_a_vector_is_searched_once(spark, monkeypatch):
 def test_synthesis_of_repeated_rows(spark, repeated, monkeypatch, name):
     cut_in_pieces(monkeypatch)
     same_as_sql(spark, repeated, name)
+
+
+def one_after_the_other(s):
+    """The plain way: each gap by a pass over all windows."""
+    held, donors = np.r_[np.full(9, np.nan), s], sources.Donors(s)
+    for t in np.flatnonzero(np.isnan(s)):
+        held[t + 9] = donors.value_after(held[t : t + 9])
+    return held[9:]
+
+
+@pytest.mark.parametrize("kind", ["noise", "steps", "constant", "far"])
+def test_gaps_filled_together_are_as_one_after_the_other(monkeypatch, kind):
+    monkeypatch.setattr(sources, "DONORS", 300)
+    monkeypatch.setattr(sources, "MOST", 500)
+    rng = np.random.default_rng(5)
+    s = {"noise": rng.exponential(30, 6000), "steps": rng.integers(0, 3, 6000) * 1.0, "constant": np.ones(6000), "far": rng.normal(1e6, 1, 6000) + (np.arange(6000) == 77) * 1e9}[kind]
+    s[rng.random(6000) < 0.02] = np.nan
+    s[[0, 1, 500, 501, 502, 503, *range(900, 915)]] = np.nan
+    np.testing.assert_allclose(sources.fill_gaps(s), one_after_the_other(s), rtol=1e-12, equal_nan=True)
+
+
+def test_few_passes_fill_many_gaps(monkeypatch):
+    passes = []
+    monkeypatch.setattr(sources.Donors, "value_after", lambda self, before: passes.append(1) or 0.0)
+    s = np.random.default_rng(1).random(3000)
+    s[20::25] = np.nan
+    assert not np.isnan(sources.fill_gaps(s)).any() and not passes
