@@ -9,9 +9,11 @@ cells are cut. No vectors beside the sample come to the driver.
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ from rarespark.operators.series import position
 from rarespark.sources.shared import written
 
 BLOCK, LEAF, SAMPLE = 65_536, 128, 100_000
+# what workers run goes to them by value: this module need not be on their path
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def kd_order(x: np.ndarray, leaf: int) -> list[np.ndarray]:
