@@ -1,5 +1,7 @@
 """What large tables bring: orders cut in pieces, and tables of many equal rows."""
 
+import threading
+
 import numpy as np
 import pytest
 
@@ -115,3 +117,20 @@ def test_few_passes_fill_many_gaps(monkeypatch):
     s = np.random.default_rng(1).random(3000)
     s[20::25] = np.nan
     assert not np.isnan(sources.fill_gaps(s)).any() and not passes
+
+
+def test_a_filled_series_is_written_once(spark, monkeypatch):
+    names, write = [], sources.written
+    monkeypatch.setattr(sources, "written", lambda df, name: names.append(name) or write(df, name))
+    df = spark.createDataFrame([(i, None if i == 30 else float(i % 3)) for i in range(60)], "t bigint, y double")
+    assert [r.y for r in sources.imputed(df, "knn").orderBy("t").collect()] == [float(i % 3) for i in range(60)] and names == ["series-filled"]
+
+
+def test_control_points_are_fitted_beside_each_other(spark, monkeypatch):
+    from rarespark.plans import evaluate as plans
+
+    threads, fit = [], plans.control_points
+    monkeypatch.setattr(plans, "control_points", lambda *a: threads.append(threading.current_thread()) or fit(*a))
+    df = spark.createDataFrame([(i, float(i % 7), float(i * 37 % 11)) for i in range(60)], "t bigint, x0 double, y double")
+    got = plans.evaluate(df, ["x0"], strategies={"baseline": None}, n_reps=2).collect()
+    assert len(got) == 8 and len(threads) == 2 and threading.main_thread() not in threads
