@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import Future, ThreadPoolExecutor
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -80,8 +80,8 @@ def evaluate(df: DataFrame, features: list[str], target: str = "y", time: str =
     def parts() -> Iterable[tuple[DataFrame, DataFrame]]:
         return splitter(df) if splitter is not None else temporal_split(df, n_reps, seed=seed, time=time)
 
-    def cell(i: int, train: DataFrame, test: DataFrame, cp, name: str, strategy: Resampler | None) -> list[tuple]:
-        fitted_on = train
+    def cell(i: int, train: DataFrame, test: DataFrame, points: Future, name: str, strategy: Resampler | None) -> list[tuple]:
+        fitted_on, cp = train, points.result()
         if strategy is not None:
             own = strategy.copy().set_params(relevance=cp)
             if own.seed is None:
@@ -96,7 +96,8 @@ def evaluate(df: DataFrame, features: list[str], target: str = "y", time: str =
     with ThreadPoolExecutor(parallelism) as pool:
         jobs = []
         for i, (train, test) in enumerate(parts()):
-            cp = control_points(train, target)
-            jobs += [pool.submit(cell, i, train, test, cp, name, s) for name, s in strategies.items()]
+            # ahead of the cells that wait for it in the queue
+            points = pool.submit(control_points, train, target)
+            jobs += [pool.submit(cell, i, train, test, points, name, s) for name, s in strategies.items()]
         rows = [r for j in jobs for r in j.result()]
     return spark.createDataFrame(rows, SCHEMA)
