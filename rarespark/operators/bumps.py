@@ -77,9 +77,13 @@ def measured(labelled: DataFrame, phi: str, threshold: float, rule: str) -> list
 
 def table(labelled: DataFrame, phi: str, threshold: float, rule: str) -> list[Bump]:
     """The bumps; [] with a warning without a rare or without a normal one."""
-    found = measured(labelled, phi, threshold, rule)
+    return balanced(measured(labelled, phi, threshold, rule), threshold)
+
+
+def balanced(found: list[Bump], threshold: float) -> list[Bump]:
+    """What there is to balance: ``found``, or [] with a warning."""
     missing = [kind for kind in ("rare", "normal") if not any(getattr(b, kind) for b in found)]
     if missing:
-        warnings.warn(f"bumps: no {' and no '.join(missing)} bump at t_R={threshold}; nothing to resample, the input is returned unchanged.", UserWarning, stacklevel=3)
+        warnings.warn(f"bumps: no {' and no '.join(missing)} bump at t_R={threshold}; nothing to resample, the input is returned unchanged.", UserWarning, stacklevel=4)
         return []
     return found

@@ -51,14 +51,19 @@ def preferences(rows: DataFrame, bias: str | None, phi: str = "phi") -> DataFram
     return w.withColumn("p", F.when(total > 0, F.col("_w") / total).otherwise(1.0 / F.col("size"))).drop("_w")
 
 
+def topped_up(b: Bump, bias: str | None) -> None:
+    """Warn where a bump has fewer cases with a weight than are drawn without replacement."""
+    if bias == "temporal+phi" and 0 < b.positive < b.n_out:
+        warnings.warn(f"draw: only {b.positive} cases have positive preference but {b.n_out} are needed without replacement; the rest are drawn uniformly.", UserWarning, stacklevel=4)
+
+
 def without_replacement(rows: DataFrame, found: list[Bump], bias: str | None, seed: int, order_by: str, stream: str = "under") -> DataFrame:
     """``n_out`` distinct rows of each bump of ``found``. Where fewer rows have a weight, all of
     these are taken, the rest uniformly, with a warning."""
     if not found:
         return rows.where(F.lit(False))
     for b in found:
-        if bias == "temporal+phi" and 0 < b.positive < b.n_out:
-            warnings.warn(f"draw: only {b.positive} cases have positive preference but {b.n_out} are needed without replacement; the rest are drawn uniformly.", UserWarning, stacklevel=3)
+        topped_up(b, bias)
     u = uniform(seed, stream, "bump", order_by)
     w = weight(bias)
     keyed = rows.where(F.col("bump").isin([b.bump for b in found]))

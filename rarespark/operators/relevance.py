@@ -20,6 +20,11 @@ def hinge_ranks(n: int) -> list[tuple[int, int]]:
     return [(math.floor(d), math.ceil(d)) for d in (depth, (n + 1) / 2, n + 1 - depth)]
 
 
+def knots(least: float, low: float, med: float, high: float, most: float) -> ControlPoints:
+    """Of the extremes, the whiskers and the median."""
+    return ControlPoints(*((low, 1.0) if least < low else (least, 0.0)), med, 0.0, *((high, 1.0) if most > high else (most, 0.0)))
+
+
 def _clean(df: DataFrame, value: str, rows: int | None) -> tuple[DataFrame, int]:
     clean = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     n = clean.count() if rows is None else rows
@@ -52,7 +57,7 @@ def control_points(df: DataFrame, value: str, rows: int | None = None) -> Contro
         lo, hi = q1 - WHISKER * (q3 - q1), q3 + WHISKER * (q3 - q1)
         y = F.col(value).cast("double")
         least, most, low, high = clean.agg(F.min(y), F.max(y), F.min(F.when(y >= lo, y)), F.max(F.when(y <= hi, y))).first()
-    return ControlPoints(*((low, 1.0) if least < low else (least, 0.0)), med, 0.0, *((high, 1.0) if most > high else (most, 0.0)))
+    return knots(least, low, med, high, most)
 
 
 def control_points_by(df: DataFrame, value: str, by: str) -> DataFrame:

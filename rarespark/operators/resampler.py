@@ -7,6 +7,7 @@ from __future__ import annotations
 import copy as copying
 import random
 from collections.abc import Callable
+from types import SimpleNamespace
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -51,6 +52,11 @@ class Resampler:
     def copy(self) -> Resampler:
         return Resampler(**{n: copying.copy(v) if isinstance(v, list | dict) else v for n, v in self.get_params().items()})
 
+    def for_tasks(self) -> SimpleNamespace:
+        """The checked parameters, without relevance, in a form that workers get by value."""
+        self._check()
+        return SimpleNamespace(**{n: v for n, v in self.get_params().items() if n != "relevance"})
+
     def _check(self) -> None:
         for name, allowed in (("strategy", counts.STRATEGIES), ("bias", draws.BIASES)):
             if getattr(self, name) not in allowed:

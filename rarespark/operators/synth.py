@@ -86,6 +86,21 @@ def nearest(seeds: np.ndarray, within: np.ndarray, x: np.ndarray, pos: np.ndarra
     return best, at
 
 
+def nearest_others(x: np.ndarray, k: int) -> np.ndarray:
+    """The rows of the ``k`` nearest other rows of each, nearest first, ties to the smaller; -1 where there are fewer."""
+    x = x + 0.0  # -0.0 and 0.0 are one vector
+    order = np.lexsort(x.T)
+    new = np.r_[True, (x[order][1:] != x[order][:-1]).any(axis=1)]
+    first, which = np.flatnonzero(new), np.empty(len(x), np.int64)
+    which[order] = np.cumsum(new) - 1
+    # lexsort is stable: k + 1 least rows of a vector do for all that hold it
+    some = order[np.arange(len(x)) - first[np.cumsum(new) - 1] <= k]
+    seeds = x[order[first]]
+    at = nearest(seeds, np.full(len(seeds), np.inf), x[some], some, k + 1)[1][which]
+    last = np.argsort(at == np.arange(len(x))[:, None], axis=1, kind="stable")[:, :k]
+    return np.take_along_axis(at, last, axis=1)
+
+
 def cells(x: np.ndarray, n: int) -> list:
     """A tree of cuts (column, value, left, right) that parts the sample ``x`` of ``n`` vectors; a leaf is []."""
     wide = np.ptp(x, axis=0) if len(x) else np.zeros(1)

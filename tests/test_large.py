@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from rarespark.operators import series, synth
+from rarespark.operators.resampler import Resampler
 from rarespark.sources import series as sources
 
 
@@ -134,3 +135,47 @@ def test_control_points_are_fitted_beside_each_other(spark, monkeypatch):
     df = spark.createDataFrame([(i, float(i % 7), float(i * 37 % 11)) for i in range(60)], "t bigint, x0 double, y double")
     got = plans.evaluate(df, ["x0"], strategies={"baseline": None}, n_reps=2).collect()
     assert len(got) == 8 and len(threads) == 2 and threading.main_thread() not in threads
+
+
+def some_series(spark, kind):
+    y = [100.0 + i % 3 if i % 10 == 9 else (-80.0 if i % 25 == 3 else float(i * 37 % 11)) for i in range(240)]
+    if kind == "tied":  # the median is the upper whisker: control points are not strict
+        y = [-50.0 if i % 24 == 0 else i * 37 % 11 / 4 if i % 3 == 0 else v if v > 99 else 3.0 for i, v in enumerate(y)]
+    if kind == "even":
+        y = [float(i % 7) for i in range(240)]
+    return spark.createDataFrame([(i + 5, y[i - 1] if i else 0.0, y[i - 2] if i > 1 else -0.0, y[i]) for i in range(240)], "t bigint, x0 double, x1 double, y double")
+
+
+@pytest.mark.parametrize("kind", ["plain", "tied"])
+def test_cells_of_a_split_in_one_task_are_the_operators(spark, monkeypatch, kind):
+    from rarespark.plans import evaluate as plans
+
+    grid = plans.default_strategies(7) | {"plain T": Resampler("smote", "temporal", seed=1, r_quirks=False, k=2), "o": Resampler("over", o=2.5)}
+    if kind == "tied":
+        grid = {n: grid[n] for n in ("baseline", "OVERTPhi", "SMOTEB", "SMOTETPhi", "plain T")}
+    df = some_series(spark, kind)
+    values = lambda: {(r.strategy, r.split, r.metric): r.value for r in plans.evaluate(df, ["x0", "x1"], strategies=grid, n_reps=1, seed=3).collect()}
+    together = values()
+    assert list(together.values()).count(together["baseline", 0, "sera"]) == 1  # every strategy has cases of its own
+    monkeypatch.setattr(plans, "TASK_ROWS", 0)
+    assert len(together) == 4 * len(grid) and together == pytest.approx(values(), rel=1e-9)
+
+
+def test_the_grid_starts_no_jobs_by_cell(spark, monkeypatch):
+    from rarespark.plans import evaluate as plans
+
+    monkeypatch.setattr(Resampler, "fit_resample", lambda *_: pytest.fail("a job of a cell's own"))
+    got = plans.evaluate(some_series(spark, "plain"), ["x0", "x1"], n_reps=50).collect()
+    assert len({(r.strategy, r.split, r.metric) for r in got}) == len(got) == 50 * 10 * 4
+    with pytest.warns(UserWarning, match="no rare"):
+        same = plans.evaluate(some_series(spark, "even"), ["x0"], strategies={"baseline": None, "UNDERB": Resampler("under")}, n_reps=1).collect()
+    assert {(r.metric, r.value) for r in same if r.strategy == "UNDERB"} == {(r.metric, r.value) for r in same if r.strategy == "baseline"}
+
+
+def test_nearest_other_rows():
+    rng = np.random.default_rng(2)
+    x = rng.integers(-3, 3, (300, 2)) * np.array([1.0, 0.0])  # both zeros, and far more copies than neighbours
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(axis=2))
+    d[np.arange(300), np.arange(300)] = np.inf
+    assert (synth.nearest_others(x, 5) == np.argsort(d, axis=1, kind="stable")[:, :5]).all()
+    assert synth.nearest_others(x[:3], 5).tolist()[0][2:] == [-1, -1, -1]
