@@ -120,6 +120,46 @@ def test_few_passes_fill_many_gaps(monkeypatch):
     assert not np.isnan(sources.fill_gaps(s)).any() and not passes
 
 
+@pytest.mark.parametrize("kind", ["noise", "walk", "signed zeros", "copies", "kept", "far", "infinite"])
+def test_a_tree_of_windows_finds_the_nearest(monkeypatch, kind):
+    for name, size in {"LEAF": 8, "FAN": 4, "DONORS": 20, "MOST": 500}.items():
+        monkeypatch.setattr(sources, name, size)
+    rng = np.random.default_rng(6)
+    n = 2400
+    zeros = np.where(rng.random(n) < 0.5, 0.0, -0.0)
+    s = {
+        "noise": lambda: rng.exponential(30, n).round(1),
+        "walk": lambda: np.cumsum(rng.normal(size=n)),
+        "signed zeros": lambda: np.where(rng.random(n) < 0.99, zeros, rng.normal(size=n)),
+        "copies": lambda: np.tile(rng.exponential(30, n // 12).round(2), 12),
+        "kept": lambda: np.repeat(rng.exponential(30, n // 12).round(2), 12),
+        "far": lambda: rng.normal(size=n) * 1e200,
+        "infinite": lambda: np.where(np.arange(n) == 300, np.inf, rng.random(n)),
+    }[kind]()
+    s[rng.random(n) < 0.03] = np.nan
+    s[[0, 1, 4, 5, *range(900, 930)]] = np.nan
+    with np.errstate(all="ignore"):
+        np.testing.assert_array_equal(sources.fill_gaps(s), one_after_the_other(s))
+
+
+@pytest.mark.parametrize("repeat", [np.tile, np.repeat])
+def test_a_gap_is_compared_with_few_windows(monkeypatch, repeat):
+    compared, distance = [], sources.Donors._distance
+    monkeypatch.setattr(sources.Donors, "_distance", lambda self, windows, *a: compared.append(len(windows)) or distance(self, windows, *a))
+    s = repeat(np.random.default_rng(7).exponential(50, 2000).round(2), 60)
+    s[50::97] = np.nan
+    windows, gaps = int(sum(~np.isnan(s))), int(sum(np.isnan(s)))
+    assert not np.isnan(sources.fill_gaps(s)).any() and sum(compared) < 0.001 * windows * gaps
+
+
+def test_a_filled_series_is_numbered_where_it_is_filled(spark):
+    df = spark.createDataFrame([(3 * i, None if i in (0, 30) else float(i % 3)) for i in range(60)], "t bigint, y double")
+    with pytest.warns(UserWarning, match="dropped 1 leading"):
+        got = sources.imputed(df, "knn")
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == [(i - 1, float(i % 3)) for i in range(1, 60)]
+
+
 def test_a_filled_series_is_written_once(spark, monkeypatch):
     names, write = [], sources.written
     monkeypatch.setattr(sources, "written", lambda df, name: names.append(name) or write(df, name))
