@@ -1,9 +1,13 @@
 """What large tables bring: orders cut in pieces, and tables of many equal rows."""
 
+import os
+import subprocess
+import sys
 import threading
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 
 import __spark_entry__ as entry
 from rarespark.operators import series, synth
@@ -152,6 +156,13 @@ def test_a_gap_is_compared_with_few_windows(monkeypatch, repeat):
     assert not np.isnan(sources.fill_gaps(s)).any() and sum(compared) < 0.001 * windows * gaps
 
 
+def test_gaps_are_filled_where_the_package_is_not_installed(tmp_path):
+    (tmp_path / "fill").write_bytes(cloudpickle.dumps(sources.fill_gaps))
+    code = "import sys; from pyspark import cloudpickle; import numpy as np; s = np.arange(60) % 3.0; s[40] = np.nan; print(cloudpickle.loads(open('fill', 'rb').read())(s)[40], 'rarespark' in sys.modules)"
+    clean = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=clean, capture_output=True, text=True, timeout=60).stdout.split() == ["1.0", "False"]
+
+
 def test_a_filled_series_is_numbered_where_it_is_filled(spark):
     df = spark.createDataFrame([(3 * i, None if i in (0, 30) else float(i % 3)) for i in range(60)], "t bigint, y double")
     with pytest.warns(UserWarning, match="dropped 1 leading"):
